@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pressmill.functions import fixed
+from pressmill.functions.binding import bind
 
 
 def _chain(c: Column, rules: list[tuple[str, str]]) -> Column:
@@ -127,7 +128,7 @@ def per_row_config(override: Column, base: CleaningConfig = DEFAULT_CONFIG) -> C
 
 def _apply(switch: Any, step, c: Column) -> Column:
     if isinstance(switch, Column):
-        return F.when(switch, step(c)).otherwise(c)
+        return bind(c, lambda x: F.when(switch, step(x)).otherwise(x))
     return step(c) if switch else c
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pressmill.functions.binding import bind
 from pressmill.functions.fixed import WS
 
 MAX_URL_LENGTH = 2083
@@ -23,8 +24,8 @@ def repair_scheme(c: Column) -> Column:
         c,
         [("httpss://", "https://"), ("httpp://", "http://"), ("httpps://", "https://")],
     )
-    foreign = ~c.rlike(_HTTP) & c.contains("://")
-    return F.when(foreign, F.concat(F.lit("https://"), F.regexp_replace(c, "(?s)^.*?://", ""))).otherwise(c)
+    # A URL with another scheme: keep what follows the first "://".
+    return F.regexp_replace(c, "(?s)^(?!https?://).*?://", "https://")
 
 
 def sanitize_url(c: Column) -> Column:
@@ -39,15 +40,15 @@ def sanitize_url(c: Column) -> Column:
             ("httpps://", "https://"),
         ],
     )
-    bare = ~c.rlike(_HTTP) & c.contains(".") & ~c.startswith("//")
-    c = F.when(bare, F.concat(F.lit("https://"), c)).otherwise(c)
-    return F.when(c.rlike(_HTTP), c)
+    # Text with a dot and no scheme looks like a domain.
+    c = F.regexp_replace(c, "(?s)^(?!https?://)(?!//)(.*\\..*)$", "https://$1")
+    return bind(c, lambda u: F.when(u.rlike(_HTTP), u))
 
 
 def sanitize_urls(c: Column) -> Column:
     """The same over an array; unfixable entries go, an empty result is NULL."""
     kept = F.filter(F.transform(c, sanitize_url), lambda u: u.isNotNull())
-    return F.when(F.size(kept) > 0, kept)
+    return bind(kept, lambda urls: F.when(F.size(urls) > 0, urls))
 
 
 def is_http_url(c: Column) -> Column:
@@ -59,5 +60,5 @@ def is_http_url(c: Column) -> Column:
 def normalize_url(c: Column) -> Column:
     """Canonical spelling: lower-case scheme and host, ``/`` as the empty path."""
     head = F.lower(F.regexp_extract(c, "(?i)^https?://[^/?#]*", 0))
-    rest = F.regexp_replace(c, "(?i)^https?://[^/?#]*", "")
-    return F.concat(head, F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest)))
+    rest = F.regexp_replace(c, "(?i)^https?://[^/?#]*(?:/|(?=[?#])|$)", "/")
+    return F.concat(head, rest)

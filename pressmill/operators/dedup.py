@@ -36,6 +36,18 @@ def first_success(
     return joined.filter(F.col("_first").isNull() | (F.col(seq) == F.col("_first"))).drop("_first")
 
 
+def latest_per_key(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    """The row with the highest ``seq`` per key (``seq`` is unique in a key); wide rows move as above."""
+    repeated = (
+        rows.groupBy(*keys)
+        .agg(F.max(seq).alias("_last"), F.count("*").alias("_n"))
+        .filter(F.col("_n") > 1)
+        .drop("_n")
+    )
+    joined = rows.join(repeated, list(keys), "left")
+    return joined.filter(F.col("_last").isNull() | (F.col(seq) == F.col("_last"))).drop("_last")
+
+
 def choose_sinks(requested: Column, enabled: Column, fallback: str = "jsonl") -> Column:
     """Requested sinks that are enabled; all enabled when none is requested; else the fallback."""
     asked = F.coalesce(F.size(requested), F.lit(0)) > 0

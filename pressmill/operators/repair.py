@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pressmill.functions import fixed
+from pressmill.functions.binding import bind
 from pressmill.functions.urls import repair_scheme
 from pressmill.sources.lines import is_blank
 
@@ -25,8 +26,12 @@ def parse_strict(c: Column) -> Column:
     elements: text after the value, or a bracket closing the list early, loses the second one.
     """
     boxed = F.try_parse_json(F.concat(F.lit("["), c, F.lit(f', "{_END_ESCAPED}"]')))
-    alone = F.try_variant_get(boxed, "$[1]", "string") == _END
-    return F.when(alone, F.try_variant_get(boxed, "$[0]", "variant"))
+    return bind(
+        boxed,
+        lambda b: F.when(
+            F.try_variant_get(b, "$[1]", "string") == _END, F.try_variant_get(b, "$[0]", "variant")
+        ),
+    )
 
 
 def repair_unicode(c: Column) -> Column:
@@ -52,11 +57,21 @@ def _escape_inner(found: re.Match) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def repair_quotes(values: pd.Series) -> pd.Series:
-    """Escape quotes inside strings.  NULLs pass through untouched, so callers send only bad rows."""
+def _repair_quotes(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else _STRING.sub(_escape_inner, v))
 
 
+def repair_quotes(c: Column) -> Column:
+    """Escape quotes inside strings.  NULLs pass through untouched, so callers send only bad rows.
+
+    Marked as not deterministic, which keeps filters on its result from running it a second time.
+    """
+    return _QUOTES(c)
+
+
+_QUOTES = _repair_quotes.asNondeterministic()
+
+
 def _field(c: Column, name: str, body: str) -> Column:
     pattern = f'"{name}"{fixed.WS}*:{fixed.WS}*"({body})"'
     return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, 1))

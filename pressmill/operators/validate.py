@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressmill.functions import fixed
+from pressmill.functions.binding import bind
 from pressmill.functions.urls import is_http_url, normalize_url, repair_scheme, sanitize_url, sanitize_urls
 from pressmill.schema import ARTICLE_FIELDS
 
@@ -48,13 +49,13 @@ def _typed(name: str, take: str, raw: Column, kind: Column, sanitize: bool) -> C
         )
     if take == "url":
         url = sanitize_url(repair_scheme(text)) if sanitize else repair_scheme(text) if name == "source_url" else text
-        return F.when(is_http_url(url), normalize_url(url))
+        return bind(url, lambda u: F.when(is_http_url(u), normalize_url(u)))
     if take == "strings":
         return F.when(kind.startswith("ARRAY"), F.when(_all_texts(raw), _texts(raw)))
     if take == "urls":
         urls = F.when(kind.startswith("ARRAY"), F.when(_all_texts(raw), _texts(raw)))
         urls = sanitize_urls(urls) if sanitize else urls
-        return F.when(F.forall(urls, is_http_url), F.transform(urls, normalize_url))
+        return bind(urls, lambda us: F.when(F.forall(us, is_http_url), F.transform(us, normalize_url)))
     return F.when(kind.startswith("OBJECT"), raw.cast("map<string,variant>"))
 
 
@@ -75,41 +76,54 @@ def validate_documents(parsed: DataFrame, document: str = "document", sanitize:
     Unknown keys are ignored.  ``sanitize`` mends URLs first and drops those beyond repair, as
     file ingestion does; without it they are errors.
     """
-    keep = [c for c in parsed.columns]
+
+
+    def field(doc: Column, name: str, take: str, required: bool) -> Column:
+        """``struct<value, error>`` of one field."""
+
+        def judge(raw: Column, kind: Column, value: Column) -> Column:
+            unfit = (kind != "VOID") & value.isNull()
+            if sanitize and take in ("url", "urls"):
+                unfit = unfit & ~_excused(name, take, raw, kind)
+            error = F.when(unfit, F.lit(f"{name}: {_MESSAGES[take]}"))
+            if required:
+                error = (
+                    F.when(kind.isNull(), F.lit(f"{name}: field required"))
+                    .when(kind == "VOID", F.lit(f"{name}: {_MESSAGES[take]}"))
+                    .otherwise(error)
+                )
+            return F.struct(value.alias("value"), error.alias("error"))
+
+        return bind(
+            F.try_variant_get(doc, f"$.{name}", "variant"),
+            lambda raw: bind(
+                F.schema_of_variant(raw),
+                lambda kind: bind(_typed(name, take, raw, kind, sanitize), lambda v: judge(raw, kind, v)),
+            ),
+        )
+
+    def check(doc: Column) -> Column:
+        fields = F.struct(*[field(doc, n, take, req).alias(n) for n, _, take, req in ARTICLE_FIELDS])
+        messages = bind(
+            fields,
+            lambda f: F.struct(
+                *[f[n]["value"].alias(n) for n, *_ in ARTICLE_FIELDS],
+                F.filter(
+                    F.array(*[f[n]["error"] for n, *_ in ARTICLE_FIELDS]), lambda e: e.isNotNull()
+                ).alias("errors"),
+            ),
+        )
+        return messages
+
     doc = F.col(document)
-    raws = parsed.select(
-        *keep,
-        F.schema_of_variant(doc).alias("_doc_kind"),
-        *[F.try_variant_get(doc, f"$.{n}", "variant").alias(f"_raw_{n}") for n, *_ in ARTICLE_FIELDS],
-    )
-    kinds = raws.select(
-        "*", *[F.schema_of_variant(f"_raw_{n}").alias(f"_kind_{n}") for n, *_ in ARTICLE_FIELDS]
+    is_object = F.schema_of_variant(doc).startswith("OBJECT")
+    checked = parsed.withColumn("_ok", F.when(is_object, bind(doc, check)))
+    errors = F.when(
+        F.col("_ok").isNull() & doc.isNotNull(), F.array(F.lit("document: must be an object"))
+    ).otherwise(F.coalesce(F.col("_ok.errors"), F.array().cast("array<string>")))
+    return checked.select(
+        *parsed.columns, *[F.col(f"_ok.{n}").alias(n) for n, *_ in ARTICLE_FIELDS], errors.alias("errors")
     )
-    typed = kinds.select(
-        *[c for c in kinds.columns],
-        *[
-            _typed(n, take, F.col(f"_raw_{n}"), F.col(f"_kind_{n}"), sanitize).alias(n)
-            for n, _, take, _ in ARTICLE_FIELDS
-        ],
-    )
-    checks = [
-        F.when(
-            doc.isNotNull() & ~F.col("_doc_kind").startswith("OBJECT"), F.lit("document: must be an object")
-        )
-    ]
-    is_object = F.col("_doc_kind").startswith("OBJECT")
-    for name, _, take, required in ARTICLE_FIELDS:
-        kind = F.col(f"_kind_{name}")
-        given = kind.isNotNull() & (kind != "VOID")
-        unfit = given & F.col(name).isNull()
-        if sanitize and take in ("url", "urls"):
-            unfit = unfit & ~_excused(name, take, F.col(f"_raw_{name}"), kind)
-        if required:
-            checks.append(F.when(is_object & kind.isNull(), F.lit(f"{name}: field required")))
-            unfit = unfit | (kind == "VOID")
-        checks.append(F.when(unfit, F.lit(f"{name}: {_MESSAGES[take]}")))
-    errors = F.filter(F.array(*checks), lambda e: e.isNotNull())
-    return typed.select(*keep, *[n for n, *_ in ARTICLE_FIELDS], errors.alias("errors"))
 
 
 def tag_outcome(validated: DataFrame) -> DataFrame:
