@@ -158,10 +158,10 @@ def error_rows(tagged: DataFrame) -> DataFrame:
 
 
 def validation_report(lines: DataFrame) -> DataFrame:
-    """One row: total lines, valid and erroneous ones.  Strict JSON, no repair, no URL mending."""
+    """One row: total lines (blank ones included), valid and erroneous ones.  Strict JSON, no repair, no URL mending."""
     return _strictly(lines).agg(
         F.count("*").alias("total_lines"),
-        F.count_if(F.col("message").isNull()).alias("valid"),
+        F.count_if(F.col("message").isNull() & ~F.col("blank")).alias("valid"),
         F.count_if(F.col("message").isNotNull()).alias("errors"),
     )
 
@@ -174,14 +174,16 @@ def first_errors(lines: DataFrame, n: int = 10) -> DataFrame:
 
 def _strictly(lines: DataFrame) -> DataFrame:
     from pressmill.operators.repair import parse_strict
-    from pressmill.sources.lines import drop_blank
+    from pressmill.sources.lines import is_blank
 
-    # No mending of URL schemes here: what is wrong in the file counts as wrong.
-    parsed = drop_blank(lines).withColumn("document", parse_strict(F.trim("value")))
+    blank = is_blank(F.col("value"))
+    parsed = lines.withColumn("blank", blank).withColumn("document", parse_strict(F.trim("value")))
     checked = validate_documents(parsed, sanitize=False)
     return checked.withColumn(
         "message",
-        F.when(F.col("document").isNull(), F.lit("Invalid JSON")).when(
+        F.when(F.col("blank"), F.lit(None))
+        .when(F.col("document").isNull(), F.lit("Invalid JSON"))
+        .when(
             F.size("errors") > 0,
             F.concat(F.lit("Schema validation failed - "), F.size("errors").cast("string"), F.lit(" errors")),
         ),
