@@ -24,23 +24,41 @@ def strip_tags(c: Column) -> Column:
 
 
 def collapse_whitespace(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, fixed.WS + "+", " "))
+    # A lone blank stays as it is, so only what changes is matched.
+    wide = f" {fixed.WS}+|[{fixed.WS}&&[^ ]]{fixed.WS}*"
+    return F.trim(F.regexp_replace(c, wide, " "))
+
+
+def _if_any(c: Column, gate: str, rules: list[tuple[str, str]]) -> Column:
+    """Run the rules on texts that match ``gate``, which must match wherever one of them does.
+
+    Most texts hold nothing to replace; one scan then stands for all of them.
+    """
+    return bind(c, lambda x: F.when(x.rlike(gate), _chain(x, rules)).otherwise(x))
 
 
 def spell_currency(c: Column) -> Column:
-    return _chain(c, fixed.CURRENCY)
+    words = "usd|us dollars?|eur|euros?|gbp|pounds?sterling"
+    return _if_any(c, f"(?iuU)[$£€]|\\b(?:{words})\\b", fixed.CURRENCY)
 
 
 def spell_units(c: Column) -> Column:
     rules = [fixed.PERCENT]
     rules += [(f"(?U)(\\d+){fixed.WS}*{short}\\b", f"$1 {name}") for short, name in fixed.UNITS]
-    return _chain(c, rules)
+    names = "|".join(short for short, _ in fixed.UNITS)
+    return _if_any(c, f"(?U)\\d{fixed.WS}*(?:%|(?:{names})\\b)", rules)
 
 
 def plain_dashes(c: Column) -> Column:
     return F.translate(c, fixed.DASHES, "-" * len(fixed.DASHES))
 
 
+def plain_dashes_and_quotes(c: Column) -> Column:
+    """Both in one pass."""
+    curly = fixed.SMART_DOUBLE + fixed.SMART_SINGLE
+    return F.translate(c, fixed.DASHES + curly, "-" * len(fixed.DASHES) + "\"\"''")
+
+
 def straight_quotes(c: Column) -> Column:
     return F.translate(c, fixed.SMART_DOUBLE + fixed.SMART_SINGLE, "\"\"''")
 
@@ -50,7 +68,8 @@ def printable_ascii(c: Column) -> Column:
 
 
 def single_punctuation(c: Column) -> Column:
-    return _chain(c, [(f"[{mark}]{{2,}}", mark) for mark in fixed.REPEATED])
+    marks = "".join(fixed.REPEATED)
+    return F.regexp_replace(c, f"([{marks}])\\1+", "$1")
 
 
 def space_after_punctuation(c: Column) -> Column:
@@ -147,8 +166,12 @@ def clean_after_encoding(c: Column, cfg: CleaningConfig = DEFAULT_CONFIG) -> Col
     """Everything between the encoding step and the typo step."""
     c = _apply(cfg.standardize_currency, spell_currency, c)
     c = _apply(cfg.standardize_units, spell_units, c)
-    c = _apply(_both(cfg.normalize_punctuation, cfg.normalize_unicode_dashes), plain_dashes, c)
-    c = _apply(_both(cfg.normalize_punctuation, cfg.normalize_smart_quotes), straight_quotes, c)
+    dashes = _both(cfg.normalize_punctuation, cfg.normalize_unicode_dashes)
+    quotes = _both(cfg.normalize_punctuation, cfg.normalize_smart_quotes)
+    if dashes is True and quotes is True:
+        c = plain_dashes_and_quotes(c)
+    else:
+        c = _apply(quotes, straight_quotes, _apply(dashes, plain_dashes, c))
     if not cfg.keep_unicode:
         c = _apply(cfg.normalize_punctuation, printable_ascii, c)
     c = _apply(cfg.remove_excessive_punctuation, single_punctuation, c)

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressmill.functions import fixed
+from pressmill.functions.binding import bind, explode_rows
 from pressmill.schema import ENTITIES
 
 MAX_PLANNED_PHRASES = 5_000
 _EDGE = "[^\\p{L}\\p{N}]+"
+_TIDY = "^[a-zA-Z0-9](?:.*[a-zA-Z0-9])?$"
 _MONTH = (
     "(?:January|February|March|April|May|June|July|August|September|October|November|December"
     "|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)\\.?"
@@ -20,14 +22,15 @@ _AMOUNT = "\\d+(?:, ?\\d{3})*(?:\\. ?\\d{1,2})?"
 PATTERNS = [
     (
         "DATE",
-        "\\b\\d{4}-\\d{2}-\\d{2}\\b"
-        f"|\\b{_MONTH} \\d{{1,2}}(?:st|nd|rd|th)?,? \\d{{4}}\\b"
-        f"|\\b\\d{{1,2}}(?:st|nd|rd|th)? {_MONTH},? \\d{{4}}\\b"
-        "|\\b\\d{1,2}/\\d{1,2}/\\d{4}\\b"
-        f"|\\b{_MONTH} \\d{{4}}\\b"
-        "|(?i:\\blast (?:monday|tuesday|wednesday|thursday|friday|saturday|sunday|week|month|year)\\b)"
-        "|(?i:\\b(?:\\d+|an?) (?:day|week|month|year)s? ago\\b)"
-        "|(?i:\\b(?:today|yesterday|tomorrow)\\b)",
+        # The look-ahead drops most positions before the alternatives are tried.
+        "\\b(?=[\\dJFMASONDalty]|[ALTY])(?:\\d{4}-\\d{2}-\\d{2}\\b"
+        f"|{_MONTH} \\d{{1,2}}(?:st|nd|rd|th)?,? \\d{{4}}\\b"
+        f"|\\d{{1,2}}(?:st|nd|rd|th)? {_MONTH},? \\d{{4}}\\b"
+        "|\\d{1,2}/\\d{1,2}/\\d{4}\\b"
+        f"|{_MONTH} \\d{{4}}\\b"
+        "|(?i:last (?:monday|tuesday|wednesday|thursday|friday|saturday|sunday|week|month|year)\\b)"
+        "|(?i:(?:\\d+|an?) (?:day|week|month|year)s? ago\\b)"
+        "|(?i:(?:today|yesterday|tomorrow)\\b))",
     ),
     (
         "TIME",
@@ -53,16 +56,28 @@ def _span(start: Column, text: Column, priority: int | Column, kind: str | Colum
 
 def pattern_spans(text: Column, pattern: str, kind: str, priority: int = 0) -> Column:
     """Spans of one pattern.  Offsets come from the lengths of the pieces around the matches."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    sizes = F.transform(found, F.length)
 
     def total(lengths: Column, n: Column) -> Column:
         return F.aggregate(F.slice(lengths, F.lit(1), n), F.lit(0), lambda acc, x: acc + x)
 
-    return F.transform(
-        found, lambda m, i: _span(total(gaps, i + 1) + total(sizes, i), m, priority, kind)
-    )
+    def spans(found: Column, gaps: Column) -> Column:
+        sizes = F.transform(found, F.length)
+        return bind(
+            sizes,
+            lambda s: F.transform(
+                found, lambda m, i: _span(total(gaps, i + 1) + total(s, i), m, priority, kind)
+            ),
+        )
+
+    def look(t: Column) -> Column:
+        found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        gaps = F.transform(F.split(t, pattern, -1), F.length)
+        return bind(
+            found,
+            lambda m: F.when(F.size(m) == 0, F.array().cast(_SPAN)).otherwise(bind(gaps, lambda g: spans(m, g))),
+        )
+
+    return bind(text, look)
 
 
 def phrase_candidates(text: Column, max_words: int) -> Column:
@@ -70,22 +85,24 @@ def phrase_candidates(text: Column, max_words: int) -> Column:
 
     ``first`` is the 0-based number of the run's first word in the single-spaced text.
     """
-    words = F.split(text, " ")
-    last = F.size(words) - 1
 
-    def runs(k: int) -> Column:
+    def runs(words: Column, k: int) -> Column:
+        last = F.size(words) - 1
         positions = F.when(last >= k - 1, F.sequence(F.lit(0), last - (k - 1)))
         return F.transform(
             F.coalesce(positions, F.array().cast("array<int>")),
             lambda i: F.struct(
                 i.alias("first"),
-                F.regexp_replace(
-                    F.array_join(F.slice(words, i + 1, F.lit(k)), " "), f"^{_EDGE}|{_EDGE}$", ""
-                ).alias("phrase"),
+                _bare(F.array_join(F.slice(words, i + 1, F.lit(k)), " ") if k > 1 else F.get(words, i)).alias("phrase"),
             ),
         )
 
-    return F.concat(*[runs(k) for k in range(1, max_words + 1)])
+    return bind(F.split(text, " "), lambda w: F.concat(*[runs(w, k) for k in range(1, max_words + 1)]))
+
+
+def _bare(phrase: Column) -> Column:
+    """The phrase without punctuation at its ends."""
+    return F.when(phrase.rlike(_TIDY), phrase).otherwise(F.regexp_replace(phrase, f"^{_EDGE}|{_EDGE}$", ""))
 
 
 def _phrase_start(text: Column, first: Column, phrase: Column) -> Column:
@@ -110,15 +127,18 @@ def planned_gazetteer_spans(text: Column, phrases: dict[str, list[str]]) -> Colu
     if not known:
         return F.array().cast(_SPAN)
     widest = max(p.count(" ") + 1 for p in known)
-    hits = F.filter(phrase_candidates(text, widest), lambda c: c["phrase"].isin(known))
 
     def kind(phrase: Column) -> Column:
         return F.coalesce(*[F.when(phrase.isin(group), F.lit(t)) for t, group in phrases.items()])
 
-    typed = F.transform(
-        hits, lambda c: F.struct(c["first"], c["phrase"].alias("phrase"), kind(c["phrase"]).alias("type"))
-    )
-    return _located(text, typed)
+    def look(t: Column) -> Column:
+        hits = F.filter(phrase_candidates(t, widest), lambda c: c["phrase"].isin(known))
+        typed = F.transform(
+            hits, lambda c: F.struct(c["first"], c["phrase"].alias("phrase"), kind(c["phrase"]).alias("type"))
+        )
+        return _located(t, typed)
+
+    return bind(text, look)
 
 
 def resolve_overlaps(spans: Column, types: list[str] | None = None) -> Column:
@@ -159,7 +179,7 @@ def all_pattern_spans(text: Column) -> Column:
 
 
 def tag_patterns(text: Column, types: list[str] | None = None) -> Column:
-    return resolve_overlaps(all_pattern_spans(text), types)
+    return bind(text, lambda t: resolve_overlaps(all_pattern_spans(t), types))
 
 
 def tag_entities(
@@ -183,8 +203,11 @@ def tag_entities(
         phrases: dict[str, list[str]] = {}
         for row in sorted(rows):
             phrases.setdefault(row["type"], []).append(row["phrase"])
-        spans = F.concat(all_pattern_spans(plain), planned_gazetteer_spans(plain, phrases))
-        return df.withColumn(out, resolve_overlaps(spans, types))
+
+        def look(t: Column) -> Column:
+            return resolve_overlaps(F.concat(all_pattern_spans(t), planned_gazetteer_spans(t, phrases)), types)
+
+        return df.withColumn(out, bind(plain, look))
     return _tag_by_join(df, text, gazetteer, out, types)
 
 
@@ -198,7 +221,7 @@ def _tag_by_join(df: DataFrame, text: str, gazetteer: DataFrame, out: str, types
     one_each = gazetteer.groupBy("phrase").agg(F.min("type").alias("type"))
     widest = one_each.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
     keyed = df.withColumn("_key", F.sha2(plain, 256))
-    runs = keyed.select("_key", F.inline(phrase_candidates(plain, widest)))
+    runs = explode_rows(keyed, phrase_candidates(plain, widest), "run", "_key").select("_key", "run.*")
     matches = (
         runs.join(one_each, "phrase")
         .select("_key", "first", "phrase", "type")

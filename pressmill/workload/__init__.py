@@ -1,6 +1,6 @@
 """Every operator as a query over the given tables."""
 
-from pressmill.workload import cleaning, ingest
+from pressmill.workload import cleaning, enrich, ingest
 from pressmill.workload.base import REGISTERED
 
-__all__ = ["REGISTERED", "cleaning", "ingest"]
+__all__ = ["REGISTERED", "cleaning", "enrich", "ingest"]

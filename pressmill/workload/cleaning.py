@@ -10,11 +10,11 @@ from pressmill.functions.counts import count_words, reading_time, word_count
 from pressmill.operators.encoding import repair_encoding
 from pressmill.workload import derived as D
 from pressmill.workload.base import query
-from pressmill.workload.derived import table
+from pressmill.workload.derived import spread, table
 
 
 def _docs(spark, sf, f):
-    return table(spark, sf, "documents").select("doc_id", f(F.col("text")).alias("cleaned"))
+    return spread(table(spark, sf, "documents")).select("doc_id", f(F.col("text")).alias("cleaned"))
 
 
 def _docs_sql(f):
@@ -22,7 +22,7 @@ def _docs_sql(f):
 
 
 def _pages(spark, sf, f):
-    return table(spark, sf, "pages").select("page_id", f(F.col("html")).alias("cleaned"))
+    return spread(table(spark, sf, "pages")).select("page_id", f(F.col("html")).alias("cleaned"))
 
 
 def _receipts(spark, sf, f):
@@ -120,7 +120,7 @@ def clean_per_row_switches(spark, sf):
 def clean_encoding(spark, sf):
     """Texts read in the wrong encoding come back as they were."""
     damaged = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
-    return table(spark, sf, "documents").select("doc_id", repair_encoding(damaged).alias("cleaned"))
+    return spread(table(spark, sf, "documents")).select("doc_id", repair_encoding(damaged).alias("cleaned"))
 
 
 @query(
@@ -129,7 +129,7 @@ def clean_encoding(spark, sf):
     FROM (SELECT conv_id, turn, {D.sql_clean('text')} AS c FROM conversations)""",
 )
 def word_counts(spark, sf):
-    cleaned = table(spark, sf, "conversations").select("conv_id", "turn", C.clean_text(F.col("text")).alias("c"))
+    cleaned = spread(table(spark, sf, "conversations")).select("conv_id", "turn", C.clean_text(F.col("text")).alias("c"))
     return cleaned.select("conv_id", "turn", count_words(F.col("c")).alias("words"))
 
 
@@ -142,7 +142,7 @@ def word_counts(spark, sf):
 )
 def reading_times(spark, sf):
     """Every fifth document brings its own word count."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     given = F.when(F.col("doc_id") % 5 == 0, F.floor(F.col("n_chars") / 6))
     words = d.select("doc_id", given.alias("given"), C.clean_text(F.col("text")).alias("c")).select(
         "doc_id", word_count(F.col("given"), F.col("c")).alias("words")

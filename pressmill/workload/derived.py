@@ -16,11 +16,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the table has fewer files than there are cores; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 # --- receipts: one text per line item ---------------------------------------------
 
 
 def receipts(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem")
+    li = spread(table(spark, sf, "lineitem"))
     price = F.col("l_extendedprice").cast("decimal(12,2)").cast("string")
     qty = F.col("l_quantity").cast("int").cast("string")
     pct = (F.col("l_tax") * 100).cast("decimal(12,0)").cast("string")
