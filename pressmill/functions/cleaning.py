@@ -24,8 +24,9 @@ def strip_tags(c: Column) -> Column:
 
 
 def collapse_whitespace(c: Column) -> Column:
-    # A lone blank stays as it is, so only what changes is matched.
-    wide = f" {fixed.WS}+|[{fixed.WS}&&[^ ]]{fixed.WS}*"
+    # A lone blank stays as it is, so only what changes is matched; the look-aheads skip
+    # ordinary characters before the long class is tried.
+    wide = f"(?![!-~])(?: (?![!-~]){fixed.WS}+|(?! ){fixed.WS}+)"
     return F.trim(F.regexp_replace(c, wide, " "))
 
 
@@ -39,7 +40,7 @@ def _if_any(c: Column, gate: str, rules: list[tuple[str, str]]) -> Column:
 
 def spell_currency(c: Column) -> Column:
     words = "usd|us dollars?|eur|euros?|gbp|pounds?sterling"
-    return _if_any(c, f"(?iuU)[$£€]|\\b(?:{words})\\b", fixed.CURRENCY)
+    return _if_any(c, f"[$£€]|(?=[uUeEgGpP])(?iuU:\\b(?:{words})\\b)", fixed.CURRENCY)
 
 
 def spell_units(c: Column) -> Column:

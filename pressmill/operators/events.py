@@ -25,10 +25,10 @@ def build_events(ledger: DataFrame, namespace: str = NAMESPACE, source: str = SO
 
     The id is a hash of job, type and ledger position, so building twice gives the same events.
     """
-    steps = with_previous(ledger, ["job_id"], "ledger_seq", "status", "_before", chunk_of(F.col("ledger_seq")))
+    steps = with_previous(ledger, ["job_id"], "ledger_seq", "status", "previous_status", chunk_of(F.col("ledger_seq")))
     kind = (
         F.when(F.col("status") == "running", "job.started")
-        .when((F.col("status") == "queued") & (F.col("_before") == "paused"), "job.resumed")
+        .when((F.col("status") == "queued") & (F.col("previous_status") == "paused"), "job.resumed")
         .when(
             F.col("status").isin("paused", "completed", "failed", "cancelled"),
             F.concat(F.lit("job."), F.col("status")),

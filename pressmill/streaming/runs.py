@@ -117,7 +117,7 @@ def _written_before(
     if number == 0:
         return None
     kept = T.StructType([f for f in schema.fields if f.name in keys])
-    done = spark.read.schema(kept.add("batch", "bigint")).parquet(path)
+    done = spark.read.schema(kept.add("batch", T.LongType())).parquet(path)
     return done.filter(F.col("batch") < number).select(*keys)
 
 

@@ -236,7 +236,7 @@ def ledger(spark: SparkSession, sf: str) -> DataFrame:
 
 LEDGER_SQL = """(
   SELECT CAST(o_orderkey AS VARCHAR) AS job_id, 'batch-' || (o_custkey % 20) AS batch_id, 0 AS ledger_seq,
-    o_orderdate AS at, 'queued' AS status, o_custkey % 50 + 10 AS total_documents, 0 AS processed_documents,
+    o_orderdate AS happened, 'queued' AS status, o_custkey % 50 + 10 AS total_documents, 0 AS processed_documents,
     0 AS failed_documents, NULL AS error_message FROM orders
   UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'batch-' || (o_custkey % 20), 1, o_orderdate + INTERVAL 1 HOUR, 'running',
     NULL, NULL, NULL, NULL FROM orders
@@ -277,7 +277,7 @@ def outcomes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 OUTCOMES = """(SELECT CAST(user_id AS VARCHAR) AS job_id, event_id AS seq,
-  'doc-' || CAST(floor(value) AS BIGINT) AS document_id, ts AS at,
+  'doc-' || CAST(floor(value) AS BIGINT) AS document_id, ts AS happened,
   CASE WHEN event_type = 'error' THEN 'processing_error' ELSE 'ok' END AS outcome FROM events)"""
 
 BACKENDS = ["redis_streams", "webhook", "kafka"]
