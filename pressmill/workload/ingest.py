@@ -116,7 +116,7 @@ def strict_parse(spark, sf):
     + D.RAW_LINES,
 )
 def repair_inner_quotes(spark, sf):
-    d = table(spark, sf, "documents")
+    d = D.spread(table(spark, sf, "documents"))
     value = F.concat(
         F.lit('{"document_id":"d'),
         F.col("doc_id").cast("string"),
@@ -279,7 +279,7 @@ def run_summary(spark, sf):
 def output_contract(spark, sf):
     from pressmill.functions.metadata import clean_string
 
-    rows = table(spark, sf, "documents").select("doc_id", clean_string(F.col("text")).alias("cleaned"))
+    rows = D.spread(table(spark, sf, "documents")).select("doc_id", clean_string(F.col("text")).alias("cleaned"))
     return V.output_contract(rows, ["doc_id", "cleaned"], expected=1)
 
 

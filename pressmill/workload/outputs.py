@@ -57,7 +57,7 @@ def daily_json_lines(spark, sf):
 def processed_files(spark, sf):
     """Text files in, result files out: the whole file run."""
     source = new_shared_path(spark, "input")
-    spread(D.raw_lines(spark, sf)).select("value").write.text(source)
+    D.raw_lines(spark, sf).select("value").write.text(source)
     target = new_shared_path(spark, "results")
     process_files(spark, source, target, _as_of())
     schema = "document_id string, version string, processed_data struct<cleaned_text: string>"
@@ -187,7 +187,7 @@ def topic_messages(spark, sf):
 
 def _batches(spark, sf):
     """One batch per document: its lines as articles, repeats and empty ids among them."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     lines = F.split(D._plain(F.col("text")), "\\. ")
     items = F.transform(
         lines,
