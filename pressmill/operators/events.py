@@ -50,7 +50,9 @@ def build_events(ledger: DataFrame, namespace: str = NAMESPACE, source: str = SO
         name.alias("type"),
         F.lit(source).alias("source"),
         F.sha2(F.concat_ws("|", "job_id", name, F.col("ledger_seq").cast("string")), 256).alias("id"),
-        F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("time"),
+        F.date_format(
+            F.to_utc_timestamp("at", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
+        ).alias("time"),
         F.concat(F.lit("job/"), F.col("job_id")).alias("subject"),
         F.lit(fixed.CONTENT_TYPE).alias("datacontenttype"),
         F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()).alias("data"),

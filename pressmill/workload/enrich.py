@@ -369,7 +369,7 @@ def full_records_enriched(spark, sf):
     profiles = L.load_profiles(L.learn_profiles(cleaned, "c", "lang"))
     words = explode_rows(cleaned, F.split(F.lower("c"), " "), "word").filter(F.col("word").rlike("^\\p{L}+$"))
     dictionary = written(T.corpus_dictionary(words, 50), "dictionary")
-    tools = Enrichment(dictionary, _places(spark, sf), profiles, settle=lambda df: written(df, "settled"))
+    tools = Enrichment(dictionary, _places(spark, sf), profiles)
     out = process_articles(rows, F.lit("2024-06-01").cast("date"), tools=tools)
     return out.select(
         "document_id",

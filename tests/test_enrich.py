@@ -164,7 +164,7 @@ def test_whole_record(spark):
     places = spark.createDataFrame([("tset ASIA", "LOC")], "phrase string, type string")
     df = _article(
         spark, document_id="d", text="<p>thsi  tset in tset ASIA — last Monday $5</p>", title="  Ths  cat ",
-        word_count=None, additional_metadata='{"domain":"tech","language":"xx"}',
+        word_count=None, tags=["cafÃ©  tset", " ", None, "x"], additional_metadata='{"domain":"tech","language":"xx"}',
     )
     tools = Enrichment(words, places, {"en": [" th", "the"]})
     row = process_articles(df, F.lit("2024-01-15").cast("date"), tools=tools).select(
@@ -172,6 +172,7 @@ def test_whole_record(spark):
     ).first()
     # "tset" belongs to an entity of the raw text, so it stays.
     assert row.cleaned_text == "this tset is tset ASIA - last Monday USD 5"
+    assert row.cleaned_tags == ["cat test", "x"] and row.cleaned_categories is None
     assert row.cleaned_title == "the cat".capitalize()
     assert [e.type for e in row.entities] == ["LOC", "DATE", "MONEY"]
     assert row.temporal_metadata == "2024-01-08" and row.cleaned_word_count == 10
