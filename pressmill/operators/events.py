@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressmill.functions import fixed
+from pressmill.functions.binding import explode_rows
 from pressmill.operators.ordered import chunk_of, with_previous
 
 NAMESPACE = "cleaning"
@@ -112,17 +113,32 @@ def fan_out(events: DataFrame, backends: list[str]) -> DataFrame:
 
 def outbox(events: DataFrame, backends: list[str]) -> DataFrame:
     """Delivery rows: body, headers and, for stream backends, flat fields; the first attempt is due."""
-    streams = F.col("backend").contains("stream")
-    webhook = F.col("backend") == "webhook"
-    return fan_out(events, backends).select(
+    forms = events.select(
         F.col("id").alias("event_id"),
-        "backend",
-        F.lit(1).alias("attempt"),
-        F.when(webhook, F.to_json("data")).otherwise(event_json()).alias("body"),
-        F.when(webhook, http_headers()).otherwise(message_headers()).alias("headers"),
-        F.when(streams, stream_fields()).alias("fields"),
+        event_json().alias("_body"),
+        F.to_json("data").alias("_data"),
+        http_headers().alias("_http"),
+        message_headers().alias("_message"),
+        stream_fields().alias("_fields"),
     )
 
+    def delivery(backend: str) -> Column:
+        webhook = backend == "webhook"
+        fields = F.col("_fields") if "stream" in backend else F.lit(None).cast("map<string,string>")
+        return F.struct(
+            F.lit(backend).alias("backend"),
+            F.lit(1).alias("attempt"),
+            F.col("_data" if webhook else "_body").alias("body"),
+            F.col("_http" if webhook else "_message").alias("headers"),
+            fields.alias("fields"),
+        )
+
+    if not backends:
+        return forms.select("event_id", delivery("none").alias("d")).select("event_id", "d.*").limit(0)
+    # Each form is built once per event, and a row carries only the form its backend takes.
+    rows = explode_rows(forms, F.array(*[delivery(b) for b in backends]), "d", "event_id")
+    return rows.select("event_id", "d.*")
+
 
 def is_retryable(status: Column) -> Column:
     """No status (time-out), 429 and anything that is neither 2xx nor 4xx may be tried again."""

@@ -197,7 +197,7 @@ EXPECTED_LINES = EXPECTED_LINES.replace("{unicode}", sql_json_unicode("body"))
 
 
 def ledger(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders")
+    o = spread(table(spark, sf, "orders"))
     at = F.col("o_orderdate").cast("timestamp")
     total = F.col("o_custkey") % 50 + 10
     end = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "failed").otherwise("paused")
