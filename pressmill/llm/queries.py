@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pressmill.llm import packing
+from pressmill.llm import fingerprints, language, packing, quality_rules
 from pressmill.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -18,11 +19,34 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def fold(parts: int, chosen: int) -> Column:
+    """Whether a row is of the fold held out; rows without an id never are."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == chosen, F.lit(False))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.prototypes(docs.where(~fold(4, 2)), F.col("text"), F.col("lang"))
+    rows = docs.select(F.col("doc_id").cast("long"), fold(4, 2).alias("held_out"), "text")
+    return language.predict(rows, model)
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Run] = {
+    "op1_language_id": op1_language_id,
+    "op8_fingerprints": op8_fingerprints,
+    "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
