@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressmill.llm import fingerprints, language, packing, quality_rules
+from pressmill.llm import fingerprints, language, packing, quality_model, quality_rules
 from pressmill.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(rows, model)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    model = quality_model.learnt(docs.where(~fold(3, 1)), table(spark, sf_dir, "labels"))
+    rows = docs.select("doc_id", fold(3, 1).alias("held_out"), "text")
+    return quality_model.scored(rows, model).drop("text")
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(table(spark, sf_dir, "documents"))
 
@@ -45,6 +52,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Run] = {
     "op1_language_id": op1_language_id,
+    "op2_quality_classifier": op2_quality_classifier,
     "op8_fingerprints": op8_fingerprints,
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
