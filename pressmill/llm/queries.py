@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressmill.llm import chat, fingerprints, language, packing, pii, quality_model, quality_rules
+from pressmill.llm import chat, fingerprints, language, near_duplicates, packing, pii, quality_model, quality_rules
 from pressmill.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.concat("base", "more")).alias("spans"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_duplicates.numbered(table(spark, sf_dir, "documents"))
+    return near_duplicates.classes(rows).select("doc_id", "class_id")
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -68,6 +73,7 @@ QUERIES: dict[str, Run] = {
     "op1_language_id": op1_language_id,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_pii": op3_pii,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_chat_formatting": op5_chat_formatting,
     "op8_fingerprints": op8_fingerprints,
     "op9_quality_rules": op9_quality_rules,
