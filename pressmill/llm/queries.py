@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressmill.llm import chat, fingerprints, language, near_duplicates, packing, pii, quality_model, quality_rules
+from pressmill.llm import chat, fingerprints, language, near_duplicates, packing, passages, pii, quality_model, quality_rules
 from pressmill.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,14 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(rows, path), path)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_duplicates.numbered(table(spark, sf_dir, "documents"))
+    found = passages.passages(rows)
+    ids = rows.select("doc_id", "place")
+    found = found.join(ids, "place").join(ids.select(F.col("doc_id").alias("other_doc_id"), F.col("place").alias("other")), "other")
+    return found.select("doc_id", "start", "end", "other_doc_id", "other_start", "other_end", "aligned")
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(table(spark, sf_dir, "documents"))
 
@@ -75,6 +83,7 @@ QUERIES: dict[str, Run] = {
     "op3_pii": op3_pii,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_fingerprints": op8_fingerprints,
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
