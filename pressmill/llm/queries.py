@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressmill.llm import chat, fingerprints, language, near_duplicates, packing, passages, pii, quality_model, quality_rules
+from pressmill.llm import chat, fingerprints, language, near_duplicates, packing, passages, pieces, pii, quality_model, quality_rules
 from pressmill.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "end", "other_doc_id", "other_start", "other_end", "aligned")
 
 
+def op7_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return pieces.segmented(rows, tokenizer_file("piece_bpe_32k.model"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(table(spark, sf_dir, "documents"))
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Run] = {
     "op4_near_duplicates": op4_near_duplicates,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_sentencepiece_nbest": op7_sentencepiece_nbest,
     "op8_fingerprints": op8_fingerprints,
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
