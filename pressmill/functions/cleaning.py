@@ -20,7 +20,13 @@ def _chain(c: Column, rules: list[tuple[str, str]]) -> Column:
 
 def strip_tags(c: Column) -> Column:
     """Each markup tag becomes one space; script and style bodies stay."""
-    return F.regexp_replace(c, fixed.HTML_TAG, " ")
+
+    def strip(x: Column) -> Column:
+        rest = F.substring_index(x, ">", -1)  # nothing is a tag after the last ">"
+        head = F.left(x, F.length(x) - F.length(rest))
+        return F.concat(F.regexp_replace(head, fixed.HTML_TAG, " "), rest)
+
+    return bind(c, lambda x: F.when(x.contains("<"), strip(x)).otherwise(x))
 
 
 def collapse_whitespace(c: Column) -> Column:
@@ -45,9 +51,9 @@ def spell_currency(c: Column) -> Column:
 
 def spell_units(c: Column) -> Column:
     rules = [fixed.PERCENT]
-    rules += [(f"(?U)(\\d+){fixed.WS}*{short}\\b", f"$1 {name}") for short, name in fixed.UNITS]
+    rules += [(f"{fixed.NUMBER}{fixed.WS}*+{short}\\b", f"$1 {name}") for short, name in fixed.UNITS]
     names = "|".join(short for short, _ in fixed.UNITS)
-    return _if_any(c, f"(?U)\\d{fixed.WS}*(?:%|(?:{names})\\b)", rules)
+    return _if_any(c, f"(?U)\\d{fixed.WS}*+(?:%|(?:{names})\\b)", rules)
 
 
 def plain_dashes(c: Column) -> Column:
@@ -79,7 +85,7 @@ def space_after_punctuation(c: Column) -> Column:
 
 @dataclass(frozen=True)
 class CleaningConfig:
-    """Step switches.  A switch is a bool (decided while planning) or a boolean Column (per row)."""
+    """Step switches and typo options: plain values (decided while planning) or Columns (per row)."""
 
     remove_html_tags: Any = True
     normalize_whitespace: Any = True
@@ -93,12 +99,12 @@ class CleaningConfig:
     add_space_after_punctuation: Any = True
     enable_typo_correction: Any = True
     keep_unicode: bool = False
-    typo_min_length: int = fixed.TYPO_MIN_LENGTH
-    typo_max_length: int = fixed.TYPO_MAX_LENGTH
-    typo_skip_capitalized: bool = True
-    typo_skip_mixed_case: bool = True
-    typo_use_ner: bool = True
-    typo_confidence: float = fixed.TYPO_CONFIDENCE
+    typo_min_length: Any = fixed.TYPO_MIN_LENGTH
+    typo_max_length: Any = fixed.TYPO_MAX_LENGTH
+    typo_skip_capitalized: Any = True
+    typo_skip_mixed_case: Any = True
+    typo_use_ner: Any = True
+    typo_confidence: Any = fixed.TYPO_CONFIDENCE
 
     def override(self, options: dict[str, Any] | None) -> CleaningConfig:
         """Options win over this config; absent or None options keep its values.
@@ -138,12 +144,21 @@ SWITCHES = [
 ]
 
 
-def per_row_config(override: Column, base: CleaningConfig = DEFAULT_CONFIG) -> CleaningConfig:
-    """Config whose switches read the fields of an override struct, else ``base``."""
-    return replace(
-        base,
-        **{s: F.coalesce(override.getField(s), F.lit(getattr(base, s))) for s in SWITCHES},
-    )
+TYPO_OPTIONS = [
+    "typo_min_length",
+    "typo_max_length",
+    "typo_skip_capitalized",
+    "typo_skip_mixed_case",
+    "typo_use_ner",
+    "typo_confidence",
+]
+
+
+def per_row_config(
+    override: Column, base: CleaningConfig = DEFAULT_CONFIG, options: list[str] = SWITCHES
+) -> CleaningConfig:
+    """Config whose ``options`` (of ``SWITCHES`` and ``TYPO_OPTIONS``) read the fields of an override struct, else ``base``."""
+    return replace(base, **{s: F.coalesce(override.getField(s), F.lit(getattr(base, s))) for s in options})
 
 
 def _apply(switch: Any, step, c: Column) -> Column:

@@ -8,18 +8,21 @@ because the JVM's ``\\s`` leaves out several of these code points.
 WS = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 
 # --- cleaning: (pattern, replacement), applied top to bottom -----------------
-HTML_TAG = "(?s)<.*?>"
+# Tried on the text up to the last ">" only, and digits from the start of a run only, each run
+# once and whole: so a long run of either costs no more than any other text.
+HTML_TAG = "<[^>]*+>"
+NUMBER = "(?U)(?<!\\d)(\\d++)"
 
 CURRENCY = [
-    ("(?U)\\$" + WS + "*(\\d+(?:\\.\\d{1,2})?)", "USD $1"),
-    ("(?U)(\\d+)" + WS + "*€", "$1 EUR"),
-    ("(?U)£" + WS + "*(\\d+(?:\\.\\d{1,2})?)", "GBP $1"),
+    ("(?U)\\$" + WS + "*+(\\d++(?:\\.\\d{1,2})?)", "USD $1"),
+    (NUMBER + WS + "*+€", "$1 EUR"),
+    ("(?U)£" + WS + "*+(\\d++(?:\\.\\d{1,2})?)", "GBP $1"),
     ("(?iuU)\\b(?:usd|us dollars?)\\b", "USD"),
     ("(?iuU)\\b(?:eur|euros?)\\b", "EUR"),
     ("(?iuU)\\b(?:gbp|pounds?sterling)\\b", "GBP"),
 ]
 
-PERCENT = ("(?U)(\\d+(?:\\.\\d+)?)" + WS + "*%", "$1 percent")
+PERCENT = (NUMBER[:-1] + "(?:\\.\\d++)?+)" + WS + "*+%", "$1 percent")
 
 UNITS = [
     ("m", "meters"),

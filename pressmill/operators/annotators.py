@@ -5,26 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 Annotator = Callable[[pd.DataFrame], pd.DataFrame]
-_instances: dict[str, Annotator] = {}
+_instances: dict[str, tuple[bytes, Annotator | None]] = {}
 
 
 def annotate(df: DataFrame, name: str, factory: Callable[[], Annotator], added: T.StructType) -> DataFrame:
     """Add the columns an injected annotator computes from each batch of rows.
 
-    ``factory`` runs once per worker process and ``name`` is its cache key.  When it returns None,
+    ``factory`` runs once per worker process; another factory under the same ``name`` replaces it.  When it returns None,
     because an optional library is missing, the added columns are NULL.
     """
     schema = T.StructType([*df.schema.fields, *added.fields])
     names = [f.name for f in added.fields]
+    made_by = cloudpickle.dumps(factory)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if name not in _instances:
-            _instances[name] = factory()
-        model = _instances[name]
+        if _instances.get(name, (None,))[0] != made_by:
+            _instances[name] = made_by, factory()
+        model = _instances[name][1]
         for batch in batches:
             if model is None:
                 yield batch.assign(**{n: None for n in names})

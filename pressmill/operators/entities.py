@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,6 +143,19 @@ def planned_gazetteer_spans(text: Column, phrases: dict[str, list[str]]) -> Colu
     return bind(text, look)
 
 
+def one_type_each(gazetteer: DataFrame) -> DataFrame:
+    """``phrase, type`` with one row per phrase: NULLs and empty phrases out, the first type in order.
+
+    Phrases go through the single spacing and the loss of outer punctuation that the texts'
+    candidates go through, so ``U.S.`` is looked up as ``U.S``; a space after an inner full stop,
+    as cleaning sets it, makes a phrase of its own.
+    """
+    single = F.trim(F.regexp_replace("phrase", f"{fixed.WS}+", " "))
+    forms = F.array_distinct(F.array(_bare(single), _bare(F.regexp_replace(single, *fixed.PUNCTUATION_SPACING))))
+    rows = gazetteer.where("phrase IS NOT NULL AND type IS NOT NULL").select(F.explode(forms).alias("phrase"), "type")
+    return rows.where("phrase <> ''").groupBy("phrase").agg(F.min("type").alias("type"))
+
+
 def resolve_overlaps(spans: Column, types: list[str] | None = None) -> Column:
     """Leftmost spans win, longer before shorter; the rest that overlaps goes.  Offsets are exclusive."""
     picked = F.aggregate(
@@ -189,48 +204,80 @@ def tag_entities(
     out: str = "entities",
     types: list[str] | None = None,
     max_planned: int = MAX_PLANNED_PHRASES,
+    tagger: Callable[[], Callable[[str], list[tuple[int, int, str]]]] | None = None,
 ) -> DataFrame:
     """Add the entities of a single-spaced text column.
 
+    ``tagger`` makes a model in each task, whose spans win over others that start with them.  A
+    text on which it raises an error has no spans of its own; no other text is touched by that.
+
     ``gazetteer`` has ``phrase, type``.  Up to ``max_planned`` phrases go into the plan as
     constant sets and tagging is a projection; a larger one is joined by phrase.
     """
     plain = F.coalesce(F.col(text), F.lit(""))
+    if tagger is not None:
+        df = df.withColumn("_model_spans", _model_spans(tagger)(plain))
+        own = F.col("_model_spans")
+    else:
+        own = F.array().cast(_SPAN)
     if gazetteer is None:
-        return df.withColumn(out, tag_patterns(plain, types))
-    rows = gazetteer.select("phrase", "type").distinct().limit(max_planned + 1).collect()
+        tagged = bind(plain, lambda t: resolve_overlaps(F.concat(own, all_pattern_spans(t)), types))
+        return df.withColumn(out, tagged).drop("_model_spans")
+    gazetteer = one_type_each(gazetteer)
+    rows = gazetteer.limit(max_planned + 1).collect()
     if len(rows) <= max_planned:
         phrases: dict[str, list[str]] = {}
         for row in sorted(rows):
             phrases.setdefault(row["type"], []).append(row["phrase"])
 
         def look(t: Column) -> Column:
-            return resolve_overlaps(F.concat(all_pattern_spans(t), planned_gazetteer_spans(t, phrases)), types)
+            return resolve_overlaps(F.concat(own, all_pattern_spans(t), planned_gazetteer_spans(t, phrases)), types)
+
+        return df.withColumn(out, bind(plain, look)).drop("_model_spans")
+    return _tag_by_join(df, text, gazetteer, out, types, own).drop("_model_spans")
 
-        return df.withColumn(out, bind(plain, look))
-    return _tag_by_join(df, text, gazetteer, out, types)
 
+def _model_spans(factory):
+    """The spans of a caller's model as a column function, row by row in Arrow batches."""
 
-def _tag_by_join(df: DataFrame, text: str, gazetteer: DataFrame, out: str, types: list[str] | None) -> DataFrame:
+    @F.pandas_udf(_SPAN)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = factory()
+
+        def one(text: str) -> list[dict]:
+            try:
+                found = model(text)
+                return [{"start": a, "rev_end": -b, "priority": 0, "text": text[a:b], "type": kind} for a, b, kind in found]
+            except Exception:  # the model's, on this text alone
+                return []
+
+        for texts in batches:
+            yield texts.map(one)
+
+    return run.asNondeterministic()
+
+
+def _tag_by_join(
+    df: DataFrame, text: str, gazetteer: DataFrame, out: str, types: list[str] | None, own: Column
+) -> DataFrame:
     """Any gazetteer size: candidate phrases meet the table, matches return by text hash.
 
     Copies of a text share its hash, and their equal matches collapse before they are grouped,
     so a group never exceeds the matches of one text.
     """
     plain = F.coalesce(F.col(text), F.lit(""))
-    one_each = gazetteer.groupBy("phrase").agg(F.min("type").alias("type"))
-    widest = one_each.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
+    widest = gazetteer.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
     keyed = df.withColumn("_key", F.sha2(plain, 256))
     runs = explode_rows(keyed, phrase_candidates(plain, widest), "run", "_key").select("_key", "run.*")
     matches = (
-        runs.join(one_each, "phrase")
+        runs.join(gazetteer, "phrase")
         .select("_key", "first", "phrase", "type")
         .distinct()
         .groupBy("_key")
         .agg(F.collect_list(F.struct("first", "phrase", "type")).alias("_matches"))
     )
     located = F.coalesce(_located(plain, F.col("_matches")), F.array().cast(_SPAN))
-    spans = F.concat(all_pattern_spans(plain), located)
+    spans = F.concat(own, all_pattern_spans(plain), located)
     return keyed.join(matches, "_key", "left").withColumn(out, resolve_overlaps(spans, types)).drop("_key", "_matches")
 
 

@@ -26,7 +26,11 @@ def build_events(ledger: DataFrame, namespace: str = NAMESPACE, source: str = SO
 
     The id is a hash of job, type and ledger position, so building twice gives the same events.
     """
-    steps = with_previous(ledger, ["job_id"], "ledger_seq", "status", "previous_status", chunk_of(F.col("ledger_seq")))
+    # Rows without a status (progress) lie between changes of it and don't count as the one before.
+    changes = ledger.filter(F.col("status").isNotNull())
+    steps = with_previous(changes, ["job_id"], "ledger_seq", "status", "previous_status", chunk_of(F.col("ledger_seq")))
+    others = ledger.filter(F.col("status").isNull()).withColumn("previous_status", F.lit(None).cast("string"))
+    steps = steps.unionByName(others)
     kind = (
         F.when(F.col("status") == "running", "job.started")
         .when((F.col("status") == "queued") & (F.col("previous_status") == "paused"), "job.resumed")

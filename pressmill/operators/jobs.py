@@ -102,12 +102,16 @@ def fold_jobs(ledger: DataFrame) -> DataFrame:
         F.min("at").alias("created_at"),
         _stamp("running", "started_at", first=True),
         _stamp("paused", "paused_at"),
-        F.max(F.when((F.col("status") == "queued") & (F.col("total_documents").isNull()), F.col("at"))).alias(
-            "resumed_at"
-        ),
+        F.max(F.when(F.col("status") == "queued", F.struct("ledger_seq", "at"))).alias("_queued"),
+        F.min(F.when(F.col("status") == "paused", F.col("ledger_seq"))).alias("_paused_first"),
         F.max(F.when(F.col("status").isin("completed", "failed", "cancelled"), F.col("at"))).alias("completed_at"),
         F.max("at").alias("updated_at"),
     )
+    # A job is queued when it is made and whenever it resumes, which takes a pause before.
+    resumed = F.when(F.col("_queued.ledger_seq") > F.col("_paused_first"), F.col("_queued.at"))
+    names = [c for c in history.columns if not c.startswith("_")]
+    names.insert(names.index("completed_at"), "resumed_at")
+    history = history.withColumn("resumed_at", resumed).select(*names)
     return history.withColumn(
         "progress_percent", progress_percent(F.col("processed_documents"), F.col("total_documents"))
     )

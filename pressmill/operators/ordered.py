@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 CHUNK = 100_000
+SALT_ROWS, SALT_STEP = 1_000_000, 64
 
 
 def chunk_of(order: Column, width: int = CHUNK) -> Column:
@@ -56,19 +57,22 @@ def with_running_count(df: DataFrame, group: list[str], order: str, hit: Column,
     )
 
 
-def newest_per_group(df: DataFrame, group: list[str], order: str, n: int, spread: int = 64) -> DataFrame:
+def newest_per_group(df: DataFrame, group: list[str], order: str, n: int, spread: int | None = None) -> DataFrame:
     """The ``n`` rows with the highest ``order`` per group; order values are unique in a group.
 
-    Each group is first cut down to ``n`` rows per salt, so the final ranking sees at most
-    ``n * spread`` rows of one group.
+    Each group is cut down to ``n`` rows per salt, in steps of ``SALT_STEP`` salts less, so no
+    ranking sees more than ``n * SALT_STEP`` rows of one group, or ``SALT_ROWS`` in the first
+    step.  ``spread`` is the number of salts; without it the rows are counted.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(spread)))
-    first = Window.partitionBy(*group, "_salt").orderBy(F.desc(order))
-    last = Window.partitionBy(*group).orderBy(F.desc(order))
-    few = salted.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= n)
-    return (
-        few.drop("_rank", "_salt").withColumn("_rank", F.row_number().over(last)).filter(F.col("_rank") <= n).drop("_rank")
-    )
+    if spread is None:
+        spread = -(-df.count() // SALT_ROWS)
+    while True:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(max(spread, 1))))
+        within = Window.partitionBy(*group, "_salt").orderBy(F.desc(order))
+        df = salted.withColumn("_rank", F.row_number().over(within)).filter(F.col("_rank") <= n).drop("_rank", "_salt")
+        if spread <= 1:
+            return df
+        spread = spread // SALT_STEP if spread > SALT_STEP else 1
 
 
 def progress_points(

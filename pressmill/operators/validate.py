@@ -142,10 +142,11 @@ def default_document_id(document_id: Column, line: Column) -> Column:
 
 
 def error_rows(tagged: DataFrame) -> DataFrame:
-    """Dead-letter rows: line, document id, error type, message and a sample of the raw line."""
+    """Dead-letter rows: file if there is one, line, document id, error type, message and a sample of the raw line."""
     limit = fixed.ERROR_TEXT_LENGTH
     is_json = F.col("outcome") == "json_error"
     return tagged.filter(F.col("outcome").isin("json_error", "validation_error")).select(
+        *[c for c in ("file",) if c in tagged.columns],
         F.col("line").alias("line_number"),
         default_document_id(F.when(~is_json, F.col("document_id")), F.col("line")).alias("document_id"),
         F.when(is_json, "JSONDecodeError").otherwise("ValidationError").alias("error_type"),

@@ -18,7 +18,8 @@ def bulk_deliver(
     send: Callable[[list[str], list[str]], list[str | None]],
     size: int = fixed.BULK_ROWS,
 ) -> DataFrame:
-    """Send rows as JSON in requests of at most ``size``; one outcome row per request.
+    """Send rows as JSON in requests of at most ``size``; one outcome row per request, with its
+    rows' ids and errors (``outcomes``), so that what failed can be sent again.
 
     ``send(ids, bodies)`` returns one error or None per row.  It runs in the tasks and may see a
     row again after a task retry, so it must upsert by id.
@@ -38,11 +39,12 @@ def bulk_deliver(
                         "rows": [len(part)],
                         "failed": [len(bad)],
                         "error": [bad[0][: fixed.ERROR_TEXT_LENGTH] if bad else None],
+                        "outcomes": [[{"id": i, "error": e[: fixed.ERROR_TEXT_LENGTH] if e else None} for i, e in zip(part["id"], errors)]],
                     }
                 )
 
     payload = rows.select(F.col(key).cast("string").alias("id"), F.to_json(F.struct("*")).alias("body"))
-    return payload.mapInPandas(run, "rows bigint, failed bigint, error string")
+    return payload.mapInPandas(run, "rows bigint, failed bigint, error string, outcomes array<struct<id:string,error:string>>")
 
 
 def write_everywhere(rows: DataFrame, sinks: dict[str, Callable[[DataFrame], None]]) -> DataFrame:

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressmill.operators.dedup import latest_per_key
+from pressmill.session import written
 
 VERSION = "_version"
 
 
 def merge_latest(old: DataFrame, new: DataFrame, keys: list[str], seq: str, created: str | None = None) -> DataFrame:
     """``old`` with ``new`` upserted: the last row per key wins, ``created`` stays the first one."""
-    latest = latest_per_key(new, keys, seq)
+    latest = written(latest_per_key(new, keys, seq), "merged")  # read twice below
     if created:
         first_seen = old.select(*keys, F.col(created).alias("_created"))
         latest = latest.join(first_seen, keys, "left").withColumn(created, F.coalesce("_created", created)).drop("_created")
@@ -31,8 +32,9 @@ class KeyedTable:
     def __init__(self, spark: SparkSession, path: str, keys: list[str]):
         self.spark, self.path, self.keys = spark, path, keys
 
-    def upsert(self, rows: DataFrame, version: int, at: Column, seq: str | None = None) -> None:
-        once = latest_per_key(rows, self.keys, seq).drop(seq) if seq else rows.dropDuplicates(self.keys)
+    def upsert(self, rows: DataFrame, version: int, at: Column, seq: str) -> None:
+        """Write ``rows``; of several rows of one key the one with the highest ``seq`` wins."""
+        once = latest_per_key(rows, self.keys, seq).drop(seq)
         once.withColumn("created_at", at).write.mode("overwrite").parquet(f"{self.path}/{VERSION}={version}")
 
     def current(self) -> DataFrame:

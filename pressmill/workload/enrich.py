@@ -15,7 +15,7 @@ from pressmill.plans.article import Enrichment, envelope, process_articles
 from pressmill.session import written
 from pressmill.workload import derived as D
 from pressmill.workload.base import query
-from pressmill.workload.derived import spread, table
+from pressmill.workload.derived import table
 
 _CLEAN_DOCS = f"(SELECT doc_id, lang, {D.sql_clean('text')} AS c FROM documents)"
 _CLEAN_TURNS = f"(SELECT conv_id, turn, {D.sql_clean('text')} AS c FROM conversations)"
@@ -36,7 +36,7 @@ def _eligible_sql(w: str, lo: int = 2, hi: int = 15) -> str:
     FROM (SELECT doc_id, unnest(string_split(c, ' ')) AS w FROM {_CLEAN_DOCS}) GROUP BY doc_id""",
 )
 def typo_eligibility(spark, sf):
-    d = spread(table(spark, sf, "documents")).select("doc_id", clean_text(F.col("text")).alias("c"))
+    d = table(spark, sf, "documents").select("doc_id", clean_text(F.col("text")).alias("c"))
     return d.select(
         "doc_id",
         F.size(T.eligible_words(F.col("c"))).cast("bigint").alias("words"),
@@ -60,7 +60,7 @@ _FIX_SQL = f"""tokens AS (SELECT conv_id, turn, unnest(string_split(c, ' ')) AS
 
 
 def _turns(spark, sf):
-    return spread(table(spark, sf, "conversations")).select("conv_id", "turn", clean_text(F.col("text")).alias("c"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", clean_text(F.col("text")).alias("c"))
 
 
 def _turn_dictionary(turns):
@@ -215,7 +215,7 @@ _GRAMS = """(SELECT doc_id, lang, unnest(list_transform(range(1, len(w) - 1), la
     WHERE rn <= 300""",
 )
 def language_profiles(spark, sf):
-    d = spread(table(spark, sf, "documents")).select("lang", clean_text(F.col("text")).alias("c"))
+    d = table(spark, sf, "documents").select("lang", clean_text(F.col("text")).alias("c"))
     return L.learn_profiles(d, "c", "lang")
 
 
@@ -232,7 +232,7 @@ def language_profiles(spark, sf):
     FROM docs d LEFT JOIN best b ON d.doc_id = b.doc_id AND b.rn = 1""",
 )
 def language_detection(spark, sf):
-    d = spread(table(spark, sf, "documents")).select("doc_id", "lang", clean_text(F.col("text")).alias("c"))
+    d = table(spark, sf, "documents").select("doc_id", "lang", clean_text(F.col("text")).alias("c"))
     profiles = L.load_profiles(L.learn_profiles(d, "c", "lang"))
     return d.select("doc_id", L.detect_language(F.col("c"), profiles).alias("language"))
 
@@ -309,7 +309,7 @@ def first_date_entity(spark, sf):
 
 def articles(spark, sf):
     """Documents as ARTICLE rows."""
-    d = spread(table(spark, sf, "documents"))
+    d = table(spark, sf, "documents")
     none = F.lit(None)
     return d.select(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("document_id"),
@@ -404,5 +404,5 @@ def injected_annotator(spark, sf):
     from pyspark.sql import types as Ty
 
     added = Ty.StructType([Ty.StructField("chars", Ty.LongType()), Ty.StructField("letters_e", Ty.LongType())])
-    d = spread(table(spark, sf, "documents")).select("doc_id", "text")
+    d = table(spark, sf, "documents").select("doc_id", "text")
     return annotate(d, "letters", factory, added).select("doc_id", "chars", "letters_e")

@@ -170,15 +170,17 @@ def usage_deltas(spark, sf):
 
 # --- order, top-k, windows ---------------------------------------------------------------------
 
+# Ledger rows with the last status before each.
+_STEPS = f"""(SELECT *, lag(status IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY ledger_seq) AS before FROM {D.LEDGER_SQL})"""
 _JOBS = f"""(SELECT job_id, max(ledger_seq) AS ledger_seq, arg_max(batch_id, ledger_seq) AS batch_id,
     arg_max(status, ledger_seq) FILTER (status IS NOT NULL) AS status,
     arg_max(total_documents, ledger_seq) FILTER (total_documents IS NOT NULL) AS total_documents,
     arg_max(processed_documents, ledger_seq) FILTER (processed_documents IS NOT NULL) AS processed_documents,
     arg_max(error_message, ledger_seq) FILTER (error_message IS NOT NULL) AS error_message,
     min(happened) AS created_at, min(happened) FILTER (status = 'running') AS started_at, max(happened) FILTER (status = 'paused') AS paused_at,
-    max(happened) FILTER (status = 'queued' AND total_documents IS NULL) AS resumed_at,
+    max(happened) FILTER (status = 'queued' AND before = 'paused') AS resumed_at,
     max(happened) FILTER (status IN ('completed', 'failed', 'cancelled')) AS completed_at, max(happened) AS updated_at
-  FROM {D.LEDGER_SQL} GROUP BY job_id)"""
+  FROM {_STEPS} GROUP BY job_id)"""
 
 
 @query(
@@ -202,11 +204,11 @@ def job_listing_by_batch(spark, sf):
 @query(
     "L3",
     """SELECT event_type, event_id FROM (SELECT event_type, event_id,
-      row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS rn FROM events) WHERE rn <= 1000""",
+      row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS rn FROM events) WHERE rn <= 10000""",
 )
 def newest_events_per_stream(spark, sf):
     e = table(spark, sf, "events").select("event_type", "event_id")
-    return O.newest_per_group(e, ["event_type"], "event_id", 1000)
+    return O.newest_per_group(e, ["event_type"], "event_id", fixed.STREAM_MAX_EVENTS)
 
 
 @query(
@@ -460,7 +462,7 @@ _EVENTS = f"""(SELECT *, 'cleaning.' || kind AS type, sha256(job_id || '|cleanin
   SELECT *, CASE WHEN status = 'running' THEN 'job.started' WHEN status = 'queued' AND before = 'paused' THEN 'job.resumed'
       WHEN status IN ('paused', 'completed', 'failed', 'cancelled') THEN 'job.' || status
       WHEN status IS NULL AND processed_documents IS NOT NULL THEN 'job.progress' END AS kind
-  FROM (SELECT *, lag(status) OVER (PARTITION BY job_id ORDER BY ledger_seq) AS before FROM {D.LEDGER_SQL})) WHERE kind IS NOT NULL)"""
+  FROM {_STEPS}) WHERE kind IS NOT NULL)"""
 _DATA = """'{"job_id":"' || job_id || '","batch_id":"' || batch_id || '"' ||
   CASE WHEN processed_documents IS NOT NULL THEN ',"documents_processed":"' || processed_documents || '"' ELSE '' END ||
   CASE WHEN error_message IS NOT NULL THEN ',"error":"' || error_message || '"' ELSE '' END || '}'"""

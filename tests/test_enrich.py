@@ -74,6 +74,16 @@ def test_copies_share_corrections(spark):
 PLACES = [("MIDDLE EAST", "LOC"), ("ASIA", "LOC"), ("EAST ASIA", "GPE"), ("Łódź", "GPE")]
 
 
+def test_gazetteer_rule_is_the_same_at_every_size(spark):
+    df = spark.createDataFrame([("Aa and Paris met the U.S. and the U. S. team",)], "t string")
+    places = [("Aa", "ORG"), ("Paris", "ORG"), ("Paris", "GPE"), ("U.S.", "GPE"), (None, "GPE"), ("", "ORG"), ("Aa", None)]
+    gazetteer = spark.createDataFrame(places, "phrase string, type string")
+    found = [
+        [(e.text, e.type) for e in E.tag_entities(df, "t", gazetteer, max_planned=limit).first().entities] for limit in (5000, 0)
+    ]
+    assert found[0] == found[1] == [("Aa", "ORG"), ("Paris", "GPE"), ("U.S", "GPE"), ("U. S", "GPE")]
+
+
 def test_entities_both_ways(spark):
     texts = [
         "Order from MIDDLE EAST, and (ASIA) on January 15, 2024 paid USD 12. 50 or 3 percent at 10:30 am",

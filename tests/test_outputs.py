@@ -36,13 +36,14 @@ def test_error_report_only_with_errors(spark, tmp_path):
 
 def test_upsert_keeps_last_row_and_first_time(spark, tmp_path):
     t = KeyedTable(spark, str(tmp_path / "t"), ["document_id"])
-    t.upsert(_rows(spark, ("a", "1"), ("b", "1")), 1, _day(1))
+    t.upsert(_rows(spark, ("a", "1"), ("b", "1")).withColumn("seq", F.lit(1)), 1, _day(1), "seq")
     for _ in range(2):  # a repeated write of one version changes nothing
-        t.upsert(_rows(spark, ("b", "2"), ("c", "2")), 2, _day(2))
+        again = _rows(spark, ("b", "1b"), ("b", "2"), ("c", "2")).withColumn("seq", F.length("text") * -1)
+        t.upsert(again, 2, _day(2), "seq")
     want = {("a", "1", 1), ("b", "2", 1), ("c", "2", 2)}
     assert {(r.document_id, r.text, r.created_at.day) for r in t.current().collect()} == want
     small = t.compact(str(tmp_path / "c"))
-    small.upsert(_rows(spark, ("a", "3")), 3, _day(2))
+    small.upsert(_rows(spark, ("a", "3")).withColumn("seq", F.lit(1)), 3, _day(2), "seq")
     assert {(r.document_id, r.text, r.created_at.day) for r in small.current().collect()} == {("a", "3", 1), ("b", "2", 1), ("c", "2", 2)}
 
 
@@ -63,6 +64,8 @@ def test_bulk_chunks_and_failures(spark):
     out = deliver.bulk_deliver(rows, "id", send).collect()
     assert sorted(r.rows for r in out) == [200, 500, 500]
     assert [(r.failed, r.error) for r in out if r.failed] == [(500, "down")]
+    failed = [o.id for r in out for o in r.outcomes if o.error]
+    assert len(failed) == 500 and "7" in failed and all(o.error in (None, "down") for r in out for o in r.outcomes)
 
 
 def test_fan_out_isolates_failures(spark):
