@@ -193,6 +193,11 @@ def found_in(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "place", plain.alias("base")).join(more, "place", "left").withColumn("more", F.coalesce("more", F.array().cast("array<struct<start:long,rank:int,end:long>>")))
 
 
+def number_of(spans, kind: str):
+    """How many of ``spans`` are of ``kind``."""
+    return F.size(F.filter(spans, lambda s: s["rank"] == KINDS.index(kind)))
+
+
 def listed(spans):
     """``kind:start:end`` of spans in order, joined by commas."""
     names = F.array(*map(F.lit, KINDS))
