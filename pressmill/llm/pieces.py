@@ -12,9 +12,10 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from array import array
 from binascii import crc32
 from collections.abc import Iterator
-from itertools import count
+from itertools import accumulate, count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,7 +45,8 @@ class Lattice:
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 self.byte_ids[int(piece[3:-1], 16)] = struct.pack("<I", i)
-                self.text_of.append(bytes([int(piece[3:-1], 16)]))
+                byte = int(piece[3:-1], 16)
+                self.text_of.append(chr(byte) if byte < 0x80 else bytes([byte]))
             elif model.is_control(i) or model.is_unknown(i):
                 self.text_of.append("")
             else:
@@ -53,10 +55,13 @@ class Lattice:
         # what each beginning of a piece is itself: a piece's score and ids, or nothing yet
         self.steps = {p[:k]: () for p in self.pieces for k in range(1, len(p) + 1)} | self.pieces
         self.byte_score = min((s for s, _ in self.pieces.values() if s > -1e8), default=0.0) - BYTE_PENALTY
+        self.pairs = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         crossing = [p for p in self.pieces if BLANK in p.lstrip(BLANK) or "\n" in p]
         if crossing:
             raise ValueError(f"pieces reach over blanks or line feeds: {crossing[:3]}")
+        self.whole_bytes = {i for i, x in enumerate(self.text_of) if isinstance(x, bytes)}
         self.known: dict[str, tuple[bytes, float, float]] = {}
+        self.ways: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
         self.chars, self.most = 0, most_chars
 
     def edges(self, chunk: str, i: int) -> Iterator[tuple[int, float, bytes]]:
@@ -103,21 +108,56 @@ class Lattice:
                 step = get(chunk[i:j])
         return best, last, loss
 
-    def chunk(self, chunk: str) -> tuple[bytes, float, float]:
+    def apart(self, chunk: str) -> list[str]:
+        """A chunk cut where no piece holds the two characters beside the cut, so no piece reaches over it."""
+        pairs, out, last = self.pairs, [], 0
+        for k in range(1, len(chunk)):
+            if chunk[k - 1 : k + 1] not in pairs:
+                out.append(chunk[last:k])
+                last = k
+        out.append(chunk[last:])
+        return out
+
+    def scored(self, part: str) -> tuple[bytes, float, float]:
         """Ids of the best way, its score, and what the second-best way loses."""
-        found = self.known.get(chunk)
-        if found is None:
-            best, last, loss = self.forward(chunk)
-            parts, second, j = [], NEVER, len(chunk)
-            while j:
-                second = min(second, loss[j])
-                j, ids = last[j]
-                parts.append(ids)
-            found = b"".join(parts[::-1]), best[-1], second
-            if self.chars > self.most:
-                self.known, self.chars = {}, 0
-            self.known[chunk] = found
+        best, last, loss = self.forward(part)
+        ids, second, j = [], NEVER, len(part)
+        while j:
+            if loss[j] < second:
+                second = loss[j]
+            j, more = last[j]
+            ids.append(more)
+        return b"".join(ids[::-1]), best[-1], second
+
+    def chunk(self, chunk: str) -> tuple[bytes, float, float]:
+        """The same of a chunk, remembered, as are its parts."""
+        if self.chars > self.most:
+            self.known.clear()
+            self.ways.clear()
+            self.chars = 0
+        found = []
+        for part in self.apart(chunk):
+            one = self.known.get(part)
+            if one is None:
+                one = self.known[part] = self.scored(part)
+                self.chars += len(part)
+            found.append(one)
+        if len(found) > 1:
+            whole = b"".join([f[0] for f in found]), sum([f[1] for f in found]), min([f[2] for f in found])
             self.chars += len(chunk)
+        else:
+            whole = found[0]
+        self.known[chunk] = whole
+        return whole
+
+    def ways_of(self, chunk: str, n: int) -> list[tuple[float, bytes]]:
+        """``n_best``, remembered: the same few chunks are nearly tied again and again."""
+        found = self.ways.get((chunk, n))
+        if found is None:
+            found = self.n_best(chunk, n)
+            if len(chunk) <= 64:
+                self.ways[chunk, n] = found
+                self.chars += n * len(chunk)
         return found
 
     def n_best(self, chunk: str, n: int) -> list[tuple[float, bytes]]:
@@ -147,21 +187,21 @@ class Lattice:
         if not text:
             return [(0.0, b"")]
         chunks = CHUNK.findall(BLANK + text.replace(" ", BLANK))
-        found = list(map(self.chunk, chunks))
+        known = self.known.get
+        found = [known(c) or self.chunk(c) for c in chunks]
         ids = [f[0] for f in found]
         total = sum([f[1] for f in found])
         whole = b"".join(ids)
         if n < 2:
             return [(total, whole)]
         losses = [f[2] for f in found]
-        near = heapq.nsmallest(n - 1, [k for k, x in enumerate(losses) if x < NEVER], key=losses.__getitem__)
-        ways = [self.n_best(chunks[k], n) for k in near]
+        most = heapq.nsmallest(n - 1, losses)[-1]
+        near = [k for k, x in enumerate(losses) if x <= most < NEVER or x < most]
+        near = sorted(near, key=losses.__getitem__)[: n - 1]
+        ways = [self.ways_of(chunks[k], n) for k in near]
         # choices of ways in the near chunks, in order of what they lose together
         agenda, seen, out = [(0.0, (0,) * len(near))], set(), []
-        starts, at = {}, 0
-        for k, part in enumerate(ids):
-            starts[k] = at
-            at += len(part)
+        starts = [0, *accumulate(map(len, ids))]
         while agenda and len(out) < n:
             loss, choice = heapq.heappop(agenda)
             parts, last = [], 0
@@ -182,11 +222,12 @@ class Lattice:
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: pieces and bytes joined, blanks for ``BLANK``, less the blank in front."""
-        parts = [self.text_of[i] for (i,) in struct.iter_unpack("<I", ids)]
-        if any(isinstance(p, bytes) for p in parts):
-            joined = b"".join([p if isinstance(p, bytes) else p.encode("utf-8", "surrogatepass") for p in parts]).decode("utf-8", "surrogatepass")
-        else:
+        numbers = array("I", ids)
+        parts = map(self.text_of.__getitem__, numbers)
+        if self.whole_bytes.isdisjoint(numbers):
             joined = "".join(parts)
+        else:
+            joined = b"".join([p if isinstance(p, bytes) else p.encode("utf-8", "surrogatepass") for p in parts]).decode("utf-8", "surrogatepass")
         return joined.replace(BLANK, " ")[1:]
 
 

@@ -43,9 +43,38 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+class Scratch:
+    """Owner of the shared paths handed out inside its ``with`` block, until ``drop``.
+
+    Results stay readable after the block, as they may still read those paths: the owner calls
+    ``drop`` once they are written elsewhere.
+    """
+
+    _open: list[Scratch] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        self._open.append(self)
+        return self
+
+    def __exit__(self, *problem) -> None:
+        self._open.remove(self)
+
+    def drop(self) -> None:
+        """Delete the paths, from whatever store they are in."""
+        while self.paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_shared_path(spark: SparkSession, label: str) -> str:
-    """A path nobody else uses, below the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path nobody else uses, below the shared folder; the innermost open ``Scratch`` owns it."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if Scratch._open:
+        Scratch._open[-1].paths.append(path)
+    return path
 
 
 def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
