@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pressmill.functions.cleaning import DEFAULT_CONFIG, CleaningConfig
 from pressmill.operators.repair import parse_lines
@@ -14,7 +16,7 @@ from pressmill.plans.article import Enrichment, envelope, process_articles
 from pressmill.schema import ARTICLE_FIELDS
 from pressmill.session import written
 from pressmill.sinks.files import overwrite_results, write_error_report
-from pressmill.sources.lines import read_lines
+from pressmill.sources.lines import mark_lines, number_lines
 
 
 @dataclass
@@ -36,15 +38,19 @@ def run_lines(
     tools: Enrichment | None = None,
     override: dict | None = None,
     settle: bool = True,
+    number: Callable[[DataFrame], DataFrame] | None = None,
 ) -> FileRun:
-    """Parsing happens once: its result is a table that the three outputs read."""
+    """Parsing happens once: its result is a table that the three outputs read.
+
+    ``lines`` has ``line``, or ``number`` adds it to the rows in error, which alone need it.
+    """
     tagged = check_lines(lines).drop("document")
     if settle:
         tagged = written(tagged, "checked-lines")
     good = tagged.filter("outcome = 'ok'").select(*[n for n, *_ in ARTICLE_FIELDS])
-    return FileRun(
-        process_articles(good, as_of, cfg, tools, override), error_rows(tagged), run_summary(tagged)
-    )
+    bad = tagged.filter(F.col("outcome").isin("json_error", "validation_error"))
+    errors = error_rows(number(bad) if number else bad)
+    return FileRun(process_articles(good, as_of, cfg, tools, override), errors, run_summary(tagged))
 
 
 def process_files(
@@ -57,7 +63,8 @@ def process_files(
     override: dict | None = None,
 ) -> FileRun:
     """Read files, write the result rows and, when there are errors, the error report next to them."""
-    run = run_lines(read_lines(spark, source), as_of, cfg, tools, override)
+    marked = mark_lines(spark, source)
+    run = run_lines(marked, as_of, cfg, tools, override, number=lambda bad: number_lines(bad, marked))
     overwrite_results(envelope(run.processed), target)
     write_error_report(run.errors, run.summary, f"{target}_errors")
     return run

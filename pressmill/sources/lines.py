@@ -15,21 +15,24 @@ def read_raw_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
 
 
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``file, line, value`` with 1-based line numbers that count blank lines.
-
-    Files may be split.  A first pass keeps one row per block (its row count and lowest row
-    id), the blocks before it in the file give its offset, and the second pass adds it.  The
-    offset table has one row per block, so Spark picks the join by its size, and a single huge
-    file still spreads over all its blocks.
-    """
-    raw = spark.read.text(path).select(
+def mark_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``file, block, row_id, value``: every line with what its number can be found from later."""
+    return spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row_id"),
         "value",
     )
-    blocks = raw.groupBy("file", "block").agg(
+
+
+def number_lines(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """``rows`` (some of ``marked``, with its columns) with ``line``, 1-based and counting blank lines.
+
+    Files may be split.  One row per block is kept of ``marked`` (its row count and lowest row id),
+    and the blocks before it in the file give its offset.  Only ``rows`` meet that table, so those
+    who need the numbers of a few lines don't move the others.
+    """
+    blocks = marked.groupBy("file", "block").agg(
         F.count("*").alias("n"), F.min("row_id").alias("first_id")
     )
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -38,9 +41,14 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "block",
         (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first_id") + 1).alias("shift"),
     )
-    return raw.join(shifts, ["file", "block"]).select(
-        "file", (F.col("row_id") + F.col("shift")).alias("line"), "value"
-    )
+    numbered = rows.join(shifts, ["file", "block"]).withColumn("line", F.col("row_id") + F.col("shift"))
+    return numbered.drop("block", "row_id", "shift")
+
+
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``file, line, value`` of every line."""
+    marked = mark_lines(spark, path)
+    return number_lines(marked, marked).select("file", "line", "value")
 
 
 def is_blank(value: Column) -> Column:

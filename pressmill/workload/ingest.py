@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pressmill.functions.urls import repair_scheme, sanitize_url, sanitize_urls
 from pressmill.operators import repair as R
@@ -26,25 +27,16 @@ def _text_files(spark, sf, label, partitions=4):
 
 @query(
     "S1 S2",
-    """SELECT count(*) AS lines, sum(CASE WHEN doc_id % 11 = 6 THEN 1 ELSE 0 END)::BIGINT AS blank,
-      count(*) AS distinct_lines, 0 AS misnumbered FROM documents""",
+    "SELECT CAST(line AS BIGINT) AS line, kind = 6 AS blank FROM " + D.RAW_LINES,
 )
 def read_numbered_lines(spark, sf):
-    """Lines written in order come back with the numbers 1..n of their file; blank ones count."""
+    """Lines written in order to several files: each one's number, after the files before its own."""
     numbered = S.read_lines(spark, _text_files(spark, sf, "lines"))
-    per_file = numbered.groupBy("file").agg(
-        F.count("*").alias("n"),
-        F.count_if(S.is_blank(F.col("value"))).alias("blank"),
-        F.min("line").alias("lo"),
-        F.max("line").alias("hi"),
-    )
-    distinct = numbered.select("file", "line").distinct().groupBy("file").agg(F.count("*").alias("d"))
-    return per_file.join(distinct, "file").agg(
-        F.sum("n").alias("lines"),
-        F.sum("blank").alias("blank"),
-        F.sum("d").alias("distinct_lines"),
-        F.count_if((F.col("lo") != 1) | (F.col("hi") != F.col("n"))).cast("int").alias("misnumbered"),
-    )
+    sizes = numbered.groupBy("file").agg(F.count("*").alias("n"))
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    joined = numbered.join(offsets, "file")
+    return joined.select((F.col("line") + F.col("before")).alias("line"), S.is_blank(F.col("value")).alias("blank"))
 
 
 @query(
