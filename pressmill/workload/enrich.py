@@ -219,9 +219,7 @@ def language_profiles(spark, sf):
     return L.learn_profiles(d, "c", "lang")
 
 
-@query(
-    "E3",
-    f"""WITH docs AS {_CLEAN_DOCS}, grams AS {_GRAMS},
+_DETECTED = f"""WITH docs AS {_CLEAN_DOCS}, grams AS {_GRAMS},
       counted AS (SELECT lang, gram, count(*) AS n FROM grams GROUP BY lang, gram),
       profile AS (SELECT lang, gram FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS rn
         FROM counted) WHERE rn <= 300),
@@ -229,14 +227,32 @@ def language_profiles(spark, sf):
         GROUP BY g.doc_id, p.lang),
       best AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY doc_id ORDER BY h DESC, lang) AS rn FROM hits)
     SELECT d.doc_id, CASE WHEN length(trim(d.c)) >= 10 THEN b.lang END AS language
-    FROM docs d LEFT JOIN best b ON d.doc_id = b.doc_id AND b.rn = 1""",
+    FROM docs d LEFT JOIN best b ON d.doc_id = b.doc_id AND b.rn = 1"""
+
+
+@query(
+    "E3",
+    _DETECTED,
 )
 def language_detection(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "lang", clean_text(F.col("text")).alias("c"))
+    d = _settled_documents(spark, sf)
     profiles = L.load_profiles(L.learn_profiles(d, "c", "lang"))
     return d.select("doc_id", L.detect_language(F.col("c"), profiles).alias("language"))
 
 
+@query("E3", _DETECTED)
+def language_detection_joined(spark, sf):
+    """With the profiles as a table, as profiles of any size are used."""
+    d = _settled_documents(spark, sf)
+    profiles = written(L.learn_profiles(d, "c", "lang"), "profiles")
+    return L.detect_by_join(d, "c", profiles).select("doc_id", "language")
+
+
+def _settled_documents(spark, sf):
+    """Cleaned once: learning and detection both read it."""
+    return written(table(spark, sf, "documents").select("doc_id", "lang", clean_text(F.col("text")).alias("c")), "cleaned-texts")
+
+
 # --- dates ---------------------------------------------------------------------------------------
 
 
