@@ -50,6 +50,21 @@ def test_typo_switch_and_options_by_row(spark):
     }
 
 
+def test_maps_get_the_whole_chain(spark):
+    meta = '{"note":"the compnay cafÃ©","list":["frendly"," ",5],"deep":{"a":"compnay","n":7,"e":"  "},"k":3,"gone":" ","nil":null,"url":"a.b"}'
+    rows = _articles(spark, {"document_id": "a", "text": "x"}).drop("additional_metadata", "geographical_data")
+    as_map = lambda t: F.try_variant_get(F.parse_json(F.lit(t)), "$", "map<string,variant>")
+    rows = rows.withColumn("additional_metadata", as_map(meta)).withColumn("geographical_data", as_map('{"city":"compnay","at":[1,"compnay"],"no":" "}'))
+    out = process_articles(rows, today(), tools=Enrichment(_dictionary(spark)))
+    r = out.select(F.to_json("cleaned_additional_metadata").alias("m"), F.to_json("cleaned_geographical_data").alias("g")).first()
+    import json
+
+    got = json.loads(r.m)
+    got.pop("cleaned_reading_time", None)
+    assert got == {"cleaned_note": "the company caf", "cleaned_list": ["friendly"], "cleaned_deep": {"a": "company", "n": 7}, "cleaned_k": 3, "cleaned_url": "a. b"}
+    assert json.loads(r.g) == {"city": "company", "at": [1, "compnay"]}
+
+
 def test_override_is_for_the_text_alone(spark):
     rows = _articles(spark, {"document_id": "a", "text": "the compnay", "title": "the compnay"})
     tools = Enrichment(_dictionary(spark))

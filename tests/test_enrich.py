@@ -170,7 +170,7 @@ def _article(spark, **given):
 
 
 def test_whole_record(spark):
-    words = spark.createDataFrame(WORDS, "word string, freq bigint")
+    words = spark.createDataFrame([*WORDS, ("tech", 9), ("xx", 9)], "word string, freq bigint")  # map values are corrected too
     places = spark.createDataFrame([("tset ASIA", "LOC")], "phrase string, type string")
     df = _article(
         spark, document_id="d", text="<p>thsi  tset in tset ASIA — last Monday $5</p>", title="  Ths  cat ",
