@@ -6,13 +6,16 @@ next one's ``docs``.  All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressmill.llm import near_duplicates, packing, passages, pii, quality_model
 from pressmill.llm.common import table
 from pressmill.llm.queries import tokenizer_file
-from pressmill.session import written
+from pressmill.session import Scratch, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +48,35 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left: list[Scratch] = []
+
+
+def alone(stage: Stage) -> Stage:
+    """The stage, which first drops what the stage before left behind.
+
+    A stage's result reads its intermediate tables until it is written, and the next stage starts
+    after that, with the written result as its ``docs``.
+    """
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _left:
+            _left.pop().drop()
+        with Scratch(spark) as scratch:
+            out = stage(spark, docs, sf_dir)
+        _left.append(scratch)
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("quality_classifier", keep_good),
-    ("near_duplicates", keep_one_of_each_class),
-    ("substring_dedup", cut_repeated_passages),
-    ("pii", redact_personal_data),
-    ("best_fit_packing", pack_sequences),
+    ("quality_classifier", alone(keep_good)),
+    ("near_duplicates", alone(keep_one_of_each_class)),
+    ("substring_dedup", alone(cut_repeated_passages)),
+    ("pii", alone(redact_personal_data)),
+    ("best_fit_packing", alone(pack_sequences)),
 ]
 
 #: No stage can be said in SQL; tests hold them against plain versions.
@@ -59,7 +85,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with Scratch(spark) as result:
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if last is not None:
+            last.drop()
+        last = result
     return STAGES[-1][1](spark, docs, sf_dir)
