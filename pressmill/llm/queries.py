@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pressmill.llm import chat, fingerprints, language, near_duplicates, packing, passages, pieces, pii, quality_model, quality_rules
 from pressmill.llm.common import table
+from pressmill.session import written
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -58,7 +59,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = near_duplicates.numbered(table(spark, sf_dir, "documents"))
+    rows = written(near_duplicates.numbered(table(spark, sf_dir, "documents")), "numbered")
     found = passages.passages(rows)
     ids = rows.select("doc_id", "place")
     found = found.join(ids, "place").join(ids.select(F.col("doc_id").alias("other_doc_id"), F.col("place").alias("other")), "other")
