@@ -56,20 +56,27 @@ def _span(start: Column, text: Column, priority: int | Column, kind: str | Colum
     )
 
 
+def running_starts(steps: Column, offset, width) -> Column:
+    """For each step the widths of those before it plus its own offset, in one pass."""
+    none = F.array().cast("array<int>")
+    return F.aggregate(
+        steps,
+        F.struct(F.lit(0).alias("at"), none.alias("starts")),
+        lambda acc, x: F.struct(
+            (acc["at"] + width(x)).cast("int").alias("at"),
+            F.concat(acc["starts"], F.array((acc["at"] + offset(x)).cast("int"))).alias("starts"),
+        ),
+        lambda acc: acc["starts"],
+    )
+
+
 def pattern_spans(text: Column, pattern: str, kind: str, priority: int = 0) -> Column:
     """Spans of one pattern.  Offsets come from the lengths of the pieces around the matches."""
 
-    def total(lengths: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(lengths, F.lit(1), n), F.lit(0), lambda acc, x: acc + x)
-
     def spans(found: Column, gaps: Column) -> Column:
-        sizes = F.transform(found, F.length)
-        return bind(
-            sizes,
-            lambda s: F.transform(
-                found, lambda m, i: _span(total(gaps, i + 1) + total(s, i), m, priority, kind)
-            ),
-        )
+        steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), F.length(m).alias("size")))
+        starts = running_starts(steps, lambda x: x["gap"], lambda x: x["gap"] + x["size"])
+        return F.zip_with(found, starts, lambda m, s: _span(s, m, priority, kind))
 
     def look(t: Column) -> Column:
         found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
@@ -83,9 +90,10 @@ def pattern_spans(text: Column, pattern: str, kind: str, priority: int = 0) -> C
 
 
 def phrase_candidates(text: Column, max_words: int) -> Column:
-    """``array<struct<first, phrase>>``: runs of up to ``max_words`` words, outer punctuation off.
+    """``array<struct<first, words, phrase>>``: runs of up to ``max_words`` words, outer punctuation off.
 
-    ``first`` is the 0-based number of the run's first word in the single-spaced text.
+    ``first`` is the 0-based number of the run's first word in the single-spaced text, ``words``
+    the number of its words.
     """
 
     def runs(words: Column, k: int) -> Column:
@@ -95,6 +103,7 @@ def phrase_candidates(text: Column, max_words: int) -> Column:
             F.coalesce(positions, F.array().cast("array<int>")),
             lambda i: F.struct(
                 i.alias("first"),
+                F.lit(k).alias("words"),
                 _bare(F.array_join(F.slice(words, i + 1, F.lit(k)), " ") if k > 1 else F.get(words, i)).alias("phrase"),
             ),
         )
@@ -107,20 +116,19 @@ def _bare(phrase: Column) -> Column:
     return F.when(phrase.rlike(_TIDY), phrase).otherwise(F.regexp_replace(phrase, f"^{_EDGE}|{_EDGE}$", ""))
 
 
-def _phrase_start(text: Column, first: Column, phrase: Column) -> Column:
-    """Offset of a phrase: the words before its run, then the punctuation it was stripped of."""
-    words = F.split(text, " ")
-    head = F.length(F.array_join(F.slice(words, F.lit(1), first), " "))
-    base = F.when(first == 0, F.lit(0)).otherwise(head + 1)
-    return F.position(phrase, text, base + 1) - 1
+def _located(text: Column, matches: Column, priority: int = 1) -> Column:
+    """Spans of ``array<struct<first, words, phrase, type>>``: where the run starts, then where the phrase does in it."""
 
+    def one(m: Column, words: Column, starts: Column) -> Column:
+        run = F.array_join(F.slice(words, m["first"] + 1, m["words"]), " ")
+        start = F.get(starts, m["first"]) + F.position(m["phrase"], run) - 1
+        return _span(start, m["phrase"], priority, m["type"])
 
-def _located(text: Column, matches: Column, priority: int = 1) -> Column:
-    """Spans of ``array<struct<first, phrase, type>>``."""
-    return F.transform(
-        matches,
-        lambda m: _span(_phrase_start(text, m["first"], m["phrase"]), m["phrase"], priority, m["type"]),
-    )
+    def look(words: Column) -> Column:
+        starts = running_starts(words, lambda w: F.lit(0), lambda w: F.length(w) + 1)
+        return bind(starts, lambda s: F.transform(matches, lambda m: one(m, words, s)))
+
+    return F.when(F.size(matches) > 0, bind(F.split(text, " "), look)).otherwise(F.array().cast(_SPAN))
 
 
 def planned_gazetteer_spans(text: Column, phrases: dict[str, list[str]]) -> Column:
@@ -136,9 +144,9 @@ def planned_gazetteer_spans(text: Column, phrases: dict[str, list[str]]) -> Colu
     def look(t: Column) -> Column:
         hits = F.filter(phrase_candidates(t, widest), lambda c: c["phrase"].isin(known))
         typed = F.transform(
-            hits, lambda c: F.struct(c["first"], c["phrase"].alias("phrase"), kind(c["phrase"]).alias("type"))
+            hits, lambda c: F.struct(c["first"].alias("first"), c["words"].alias("words"), c["phrase"].alias("phrase"), kind(c["phrase"]).alias("type"))
         )
-        return _located(t, typed)
+        return bind(typed, lambda m: _located(t, m))
 
     return bind(text, look)
 
@@ -271,10 +279,10 @@ def _tag_by_join(
     runs = explode_rows(keyed, phrase_candidates(plain, widest), "run", "_key").select("_key", "run.*")
     matches = (
         runs.join(gazetteer, "phrase")
-        .select("_key", "first", "phrase", "type")
+        .select("_key", "first", "words", "phrase", "type")
         .distinct()
         .groupBy("_key")
-        .agg(F.collect_list(F.struct("first", "phrase", "type")).alias("_matches"))
+        .agg(F.collect_list(F.struct("first", "words", "phrase", "type")).alias("_matches"))
     )
     located = F.coalesce(_located(plain, F.col("_matches")), F.array().cast(_SPAN))
     spans = F.concat(own, all_pattern_spans(plain), located)
