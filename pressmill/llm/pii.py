@@ -211,14 +211,14 @@ def redacted(docs: DataFrame) -> DataFrame:
     null ones too, stay as they are; so do all other columns.
     """
     numbered = written(docs.withColumn(PLACE, F.monotonically_increasing_id()), "pii-rows")
-    spans = found_in(numbered).select(F.col("place").alias(PLACE), F.concat("base", "more").alias("spans")).where("size(spans) > 0")
+    spans = found_in(numbered).select(F.col("place").alias(PLACE), F.concat("base", "more").alias("__spans")).where("size(__spans) > 0")
     joined = numbered.join(spans, PLACE, "left")
-    kept = [f for f in joined.schema.fields if f.name not in (PLACE, "spans", "text")]
+    kept = [f for f in joined.schema.fields if f.name not in (PLACE, "__spans", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             out = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist()):
                 if text is not None and spans:
                     parts, last = [], 0
                     for s in sorted(spans, key=lambda s: (s["start"], s["rank"])):
@@ -230,5 +230,5 @@ def redacted(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(out, pa.string())], [*(f.name for f in kept), "text"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "text string"])
-    changed = joined.select(*(F.col(f"`{f.name}`") for f in kept), "text", "spans").mapInArrow(run, schema)
+    changed = joined.select(*(F.col(f"`{f.name}`") for f in kept), "text", "__spans").mapInArrow(run, schema)
     return changed.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)

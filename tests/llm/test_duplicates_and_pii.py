@@ -217,7 +217,7 @@ def test_patterns_find_unseen_identifiers(spark):
     rows = [(k, f"{word()} please write to{k % 1 or ''} {word()}{k}@mail.example.com about {word()}") for k in range(12)]
     rows = [(k, t.replace("write to ", "write to ")) for k, t in rows]
     rows += [(50, f"{word()} please write to user9012@localhost about {word()}"), (51, f"{word()} chapter part 90125512 and {word()}"), (52, None), (53, ""), (54, "call +1 (504) 555-2652 now"), (54, "call +1 (504) 555-2652 now")]
-    docs = spark.createDataFrame([(*x, "c", "d") for x in rows], "doc_id long, text string, base string, place string")
+    docs = spark.createDataFrame([(*x, "c", "d") for x in rows], "doc_id long, text string, spans string, place string")
     found = pii.found_in(docs).collect()
     assert len(found) == len(rows)
     more = {x.doc_id: [tuple(s) for s in x.more] for x in found if x.more}
