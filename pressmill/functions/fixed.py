@@ -99,18 +99,13 @@ MEMORY_THRESHOLD = 90.0
 CPU_THRESHOLD = 95.0
 IDLE_SECONDS = 300
 
+# --- URLs: replacements, applied top to bottom ---------------------------------
+SCHEME_REPAIRS = [("httpss://", "https://"), ("httpp://", "http://"), ("httpps://", "https://")]
+URL_REPAIRS = [("https.://", "https://"), ("http.://", "http://"), ("httpss://", "https://"), ("httpps://", "https://")]
+
 # --- events -----------------------------------------------------------------
 SPEC_VERSION = "1.0"
 CONTENT_TYPE = "application/json"
-EVENT_KINDS = [
-    "job.started",
-    "job.progress",
-    "job.paused",
-    "job.resumed",
-    "job.completed",
-    "job.failed",
-    "job.cancelled",
-]
 STREAM_MAX_EVENTS = 10000
 DELIVERY_ATTEMPTS = 3
 BULK_ROWS = 500

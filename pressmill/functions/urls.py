@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pressmill.functions.binding import bind
-from pressmill.functions.fixed import WS
+from pressmill.functions.fixed import SCHEME_REPAIRS, URL_REPAIRS, WS
 
 MAX_URL_LENGTH = 2083
 _HTTP = "^https?://"
@@ -20,10 +20,7 @@ def _replace_all(c: Column, pairs: list[tuple[str, str]]) -> Column:
 
 def repair_scheme(c: Column) -> Column:
     """Undo doubled scheme letters; any other ``x://`` scheme becomes ``https://``."""
-    c = _replace_all(
-        c,
-        [("httpss://", "https://"), ("httpp://", "http://"), ("httpps://", "https://")],
-    )
+    c = _replace_all(c, SCHEME_REPAIRS)
     # A URL with another scheme: keep what follows the first "://".
     return F.regexp_replace(c, "(?s)^(?!https?://).*?://", "https://")
 
@@ -31,15 +28,7 @@ def repair_scheme(c: Column) -> Column:
 def sanitize_url(c: Column) -> Column:
     """Trim, mend the scheme, add one to bare domains; NULL when that fails."""
     c = F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
-    c = _replace_all(
-        c,
-        [
-            ("https.://", "https://"),
-            ("http.://", "http://"),
-            ("httpss://", "https://"),
-            ("httpps://", "https://"),
-        ],
-    )
+    c = _replace_all(c, URL_REPAIRS)
     # Text with a dot and no scheme looks like a domain.
     c = F.regexp_replace(c, "(?s)^(?!https?://)(?!//)(.*\\..*)$", "https://$1")
     return bind(c, lambda u: F.when(u.rlike(_HTTP), u))
