@@ -26,6 +26,7 @@ SIMILARITY = 0.8
 SKETCHES, KEPT = 14, 4
 #: Members of a bucket with which all its members are compared.
 PIVOTS = 3
+FURTHER_PIVOTS = 4
 #: Buckets up to this size are searched in full for what the pivots left apart.
 SMALL_BUCKET = 64
 MULTIPLIERS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -169,7 +170,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     Equal texts are brought to one representative by a hash, then representatives meet in
     buckets.  All members of a bucket are compared with a few pivots of it, not with one another;
-    members that are then still apart are compared among themselves in buckets of bounded size.
+    members that are then still apart are compared among themselves in buckets of bounded size, and
+    with further pivots in larger ones.
     """
     every = written(sketched(docs), "sketched")
     hashed = every.where("text_hash IS NOT NULL")
@@ -179,7 +181,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     texts = every.select("place", "words")
     buckets = every.select("place", F.posexplode("sketch").alias("band", "mark")).join(reps, "place", "left_semi")
     buckets = buckets.select("place", F.xxhash64("band", "mark").alias("bucket"))
-    mixed = [F.min(F.struct(F.xxhash64("place", F.lit(k), "bucket"), "place"))["place"].alias(f"p{k}") for k in range(1, PIVOTS)]
+    # The same orders in all buckets, so a document that is first in one is first in many, and a
+    # member meets a few pivots and not a few for each bucket.
+    mixed = [F.min(F.struct(F.xxhash64("place", F.lit(k)), "place"))["place"].alias(f"p{k}") for k in range(1, PIVOTS)]
     pivots = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("place").alias("p0"), *mixed).where("size > 1")
     met = written(buckets.join(pivots, "bucket"), "buckets")
     pairs = met.select(F.col("place").alias("x"), F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("y"))
@@ -191,9 +195,22 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     apart = written(small.join(split.select("bucket"), "bucket"), "apart")
     other = apart.select("bucket", F.col("place").alias("y"), F.col("component").alias("other"))
     crossing = apart.withColumnRenamed("place", "x").join(other, "bucket").where("x < y AND component <> other")
-    more = verified(ordered_pairs(crossing).join(links, ["a", "b"], "left_anti"), texts, least)
-    all_links = links.select("a", "b").unionByName(more.select("a", "b"))
-    named = components(all_links, "classes")
+    # In a larger bucket those outside its main component meet further pivots, other ones in each bucket.
+    large = met.where(f"size > {SMALL_BUCKET}").select("place", "bucket").join(named, F.col("place") == F.col("id"), "left")
+    large = large.select("bucket", "place", F.coalesce("component", "place").alias("component"))
+    further = [F.min(F.struct(F.xxhash64("place", F.lit(k), "bucket"), "place", "component")) for k in range(FURTHER_PIVOTS)]
+    mains = large.groupBy("bucket").agg(F.mode("component", True).alias("main"), F.array(*further).alias("pivots"))
+    outside = large.join(mains, "bucket").where("component <> main").select("place", "component", F.explode("pivots").alias("p"))
+    outside = outside.where("component <> p.component").select(F.col("place").alias("x"), F.col("p.place").alias("y"))
+    crossing = crossing.select("x", "y").unionByName(outside)
+    more = verified(ordered_pairs(crossing).join(links, ["a", "b"], "left_anti"), texts, least).select("a", "b")
+    # What is found now links components, of which there are fewer than documents.
+    for end in ("a", "b"):
+        of = named.select(F.col("id").alias(end), F.col("component").alias("name"))
+        more = more.join(of, end, "left").withColumn(end, F.coalesce("name", end)).drop("name")
+    merged = components(more, "classes").select(F.col("id").alias("component"), F.col("component").alias("merged"))
+    named = named.join(merged, "component", "left").select("id", F.coalesce("merged", "component").alias("component"))
+    named = named.unionByName(merged.join(named.select("id"), F.col("component") == F.col("id"), "left_anti").select(F.col("component").alias("id"), F.col("merged").alias("component")))
     rows = membership.join(named, F.col("rep") == F.col("id"), "left").select("place", "doc_id", F.coalesce("component", "rep").alias("class_place"))
     rows = rows.unionByName(every.where("text_hash IS NULL").select("place", "doc_id", F.col("place").alias("class_place")))
     lowest = rows.groupBy("class_place").agg(F.min("doc_id").alias("class_id"))
