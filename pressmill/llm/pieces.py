@@ -52,8 +52,14 @@ class Lattice:
             else:
                 self.pieces[piece] = model.get_score(i), struct.pack("<I", i)
                 self.text_of.append(piece)
-        # what each beginning of a piece is itself: a piece's score and ids, or nothing yet
-        self.steps = {p[:k]: () for p in self.pieces for k in range(1, len(p) + 1)} | self.pieces
+        # a tree of characters: a node has the piece that ends there, if any, and the nodes after it
+        self.root: dict[str, list] = {}
+        for piece, step in self.pieces.items():
+            after = self.root
+            for ch in piece:
+                node = after.setdefault(ch, [None, {}])
+                after = node[1]
+            node[0] = step
         self.byte_score = min((s for s, _ in self.pieces.values() if s > -1e8), default=0.0) - BYTE_PENALTY
         self.pairs = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         crossing = [p for p in self.pieces if BLANK in p.lstrip(BLANK) or "\n" in p]
@@ -66,46 +72,48 @@ class Lattice:
 
     def edges(self, chunk: str, i: int) -> Iterator[tuple[int, float, bytes]]:
         """Pieces that start at ``i``: where they end, their score, their ids; bytes where no piece has the character alone."""
-        j = i + 1
-        step = self.steps.get(chunk[i:j])
-        if not step:
-            raw = chunk[i:j].encode("utf-8", "surrogatepass")
+        j, node = i + 1, self.root.get(chunk[i])
+        if node is None or node[0] is None:
+            raw = chunk[i].encode("utf-8", "surrogatepass")
             yield j, self.byte_score * len(raw), b"".join([self.byte_ids[b] for b in raw])
-        while step is not None:
-            if step:
-                yield j, *step
+        while node is not None:
+            if node[0] is not None:
+                yield j, *node[0]
             if j == len(chunk):
                 break
+            node = node[1].get(chunk[j])
             j += 1
-            step = self.steps.get(chunk[i:j])
 
     def forward(self, chunk: str) -> tuple[list[float], list[tuple[int, bytes]], list[float]]:
         """For each place the best score, the last edge of the best way, and what the second-best last edge loses."""
         n = len(chunk)
         best, last, loss = [-NEVER] * (n + 1), [(0, b"")] * (n + 1), [NEVER] * (n + 1)
         best[0] = 0.0
-        get = self.steps.get
+        root = self.root.get
         for i in range(n):
             here, j = best[i], i + 1
-            step = get(chunk[i:j])
-            if not step:
+            node = root(chunk[i])
+            if node is None or node[0] is None:
                 _, score, ids = next(self.edges(chunk, i))
                 total, old = here + score, best[j]
                 if total > old:
                     best[j], last[j], loss[j] = total, (i, ids), total - old
                 elif old - total < loss[j]:
                     loss[j] = old - total
-            while step is not None:
-                if step:
+            while node is not None:
+                step, after = node
+                if step is not None:
                     total, old = here + step[0], best[j]
                     if total > old:
-                        best[j], last[j], loss[j] = total, (i, step[1]), total - old
+                        best[j] = total
+                        last[j] = i, step[1]
+                        loss[j] = total - old
                     elif old - total < loss[j]:
                         loss[j] = old - total
                 if j == n:
                     break
+                node = after.get(chunk[j])
                 j += 1
-                step = get(chunk[i:j])
         return best, last, loss
 
     def apart(self, chunk: str) -> list[str]:
