@@ -161,6 +161,55 @@ def ordered_pairs(rows: DataFrame) -> DataFrame:
     return rows.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def shingled(texts: DataFrame) -> DataFrame:
+    """``place, n, shingle`` of every labelled shingle of ``texts`` (``place, words``), ``n`` being how many its text has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "words"):
+            for place, words in zip(batch.column("place").to_pylist(), batch.column("words").to_pylist()):
+                own = labelled(shingles(np.frombuffer(words, "<u4").astype(np.uint64)))
+                columns = [np.full(len(own), place, np.int64), np.full(len(own), len(own), np.int32), own.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["place", "n", "shingle"])
+
+    return texts.select("place", "words").mapInArrow(run, "place long, n int, shingle long")
+
+
+def sharing_rare_shingles(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """All pairs ``x, y`` of ``members`` (``place, component, outside``) that may be alike to ``least``, of
+    different components and one of them ``outside``.
+
+    A prefix filter without loss: shingles stand in one order, rarest first.  Two texts with n and m
+    shingles need least / (1 + least) * (n + m) in common, so the first that they share has at least
+    as many after it, itself included, in both.
+    """
+    own = written(shingled(texts.join(members.select("place"), "place", "left_semi")), "shingles")
+    count = own.groupBy("shingle").agg(F.count("*").alias("count")).where("count > 1")
+    ranked = own.join(count, "shingle").groupBy("place", "n").agg(F.sort_array(F.collect_list(F.struct("count", "shingle"))).alias("shared"))
+    listed = ranked.select("place", "n", F.size("shared").alias("listed"), F.posexplode("shared").alias("k", "s"))
+    left = (F.col("listed") - F.col("k")).alias("left")
+    prefix = listed.where(F.col("listed") - F.col("k") >= least * F.col("n") - 1e-9).select("place", "n", left, F.col("s.shingle").alias("shingle"))
+    prefix = written(prefix.join(members, "place"), "prefixes")
+    y = prefix.select("shingle", F.col("place").alias("y"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("left").alias("other_left"))
+    met = prefix.where("outside").withColumnRenamed("place", "x").join(y, "shingle").where("component <> other")
+    return met.where(F.least("left", "other_left") >= least / (1 + least) * (F.col("n") + F.col("m")) - 1e-9).select("x", "y")
+
+
+def linked(named: DataFrame, more: DataFrame, label: str) -> DataFrame:
+    """``named`` (``id, component``) after further links ``a, b``, which join components, of which there are fewer than documents."""
+    for end in ("a", "b"):
+        of = named.select(F.col("id").alias(end), F.col("component").alias("name"))
+        more = more.join(of, end, "left").withColumn(end, F.coalesce("name", end)).drop("name")
+    merged = components(more, label).select(F.col("id").alias("component"), F.col("component").alias("merged"))
+    out = named.join(merged, "component", "left").select("id", F.coalesce("merged", "component").alias("component"))
+    return out.unionByName(merged.join(named.select("id"), F.col("component") == F.col("id"), "left_anti").select(F.col("component").alias("id"), F.col("merged").alias("component")))
+
+
+def with_components(met: DataFrame, named: DataFrame) -> DataFrame:
+    """``bucket, place, component`` of members of buckets; what has no link is a component of its own."""
+    rows = met.select("place", "bucket").join(named, F.col("place") == F.col("id"), "left")
+    return rows.select("bucket", "place", F.coalesce("component", "place").alias("component"))
+
+
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``place, doc_id, class_place, class_id`` of every row of ``docs`` (``place, doc_id, text``).
 
@@ -170,8 +219,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     Equal texts are brought to one representative by a hash, then representatives meet in
     buckets.  All members of a bucket are compared with a few pivots of it, not with one another;
-    members that are then still apart are compared among themselves in buckets of bounded size, and
-    with further pivots in larger ones.
+    members that are then still apart are compared among themselves in buckets of bounded size.  In
+    larger ones those outside the main component meet further pivots first, and what is apart even
+    then is compared with all members that share one of its rarest shingles.
     """
     every = written(sketched(docs), "sketched")
     hashed = every.where("text_hash IS NOT NULL")
@@ -189,28 +239,25 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     pairs = met.select(F.col("place").alias("x"), F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("y"))
     links = written(verified(ordered_pairs(pairs), texts, least), "links")
     named = components(links, "first")
-    small = met.where(f"size BETWEEN 3 AND {SMALL_BUCKET}").select("place", "bucket").join(named, F.col("place") == F.col("id"), "left")
-    small = small.select("bucket", "place", F.coalesce("component", "place").alias("component"))
+    small = with_components(met.where(f"size BETWEEN 3 AND {SMALL_BUCKET}"), named)
     split = small.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     apart = written(small.join(split.select("bucket"), "bucket"), "apart")
     other = apart.select("bucket", F.col("place").alias("y"), F.col("component").alias("other"))
     crossing = apart.withColumnRenamed("place", "x").join(other, "bucket").where("x < y AND component <> other")
     # In a larger bucket those outside its main component meet further pivots, other ones in each bucket.
-    large = met.where(f"size > {SMALL_BUCKET}").select("place", "bucket").join(named, F.col("place") == F.col("id"), "left")
-    large = large.select("bucket", "place", F.coalesce("component", "place").alias("component"))
+    large = with_components(met.where(f"size > {SMALL_BUCKET}"), named)
     further = [F.min(F.struct(F.xxhash64("place", F.lit(k), "bucket"), "place", "component")) for k in range(FURTHER_PIVOTS)]
     mains = large.groupBy("bucket").agg(F.mode("component", True).alias("main"), F.array(*further).alias("pivots"))
     outside = large.join(mains, "bucket").where("component <> main").select("place", "component", F.explode("pivots").alias("p"))
     outside = outside.where("component <> p.component").select(F.col("place").alias("x"), F.col("p.place").alias("y"))
-    crossing = crossing.select("x", "y").unionByName(outside)
-    more = verified(ordered_pairs(crossing).join(links, ["a", "b"], "left_anti"), texts, least).select("a", "b")
-    # What is found now links components, of which there are fewer than documents.
-    for end in ("a", "b"):
-        of = named.select(F.col("id").alias(end), F.col("component").alias("name"))
-        more = more.join(of, end, "left").withColumn(end, F.coalesce("name", end)).drop("name")
-    merged = components(more, "classes").select(F.col("id").alias("component"), F.col("component").alias("merged"))
-    named = named.join(merged, "component", "left").select("id", F.coalesce("merged", "component").alias("component"))
-    named = named.unionByName(merged.join(named.select("id"), F.col("component") == F.col("id"), "left_anti").select(F.col("component").alias("id"), F.col("merged").alias("component")))
+    crossing = written(ordered_pairs(crossing.select("x", "y").unionByName(outside)).join(links, ["a", "b"], "left_anti"), "crossing")
+    named = written(linked(named, verified(crossing, texts, least).select("a", "b"), "second"), "named")
+    # What the pivots of larger buckets leave outside meets all that share rare shingles with it.
+    large = with_components(met.where(f"size > {SMALL_BUCKET}"), named)
+    mains = large.groupBy("bucket").agg(F.mode("component", True).alias("main"), F.min("component").alias("low"), F.max("component").alias("high"))
+    members = large.join(mains.where("low < high"), "bucket").groupBy("place").agg(F.first("component").alias("component"), F.bool_or(F.col("component") != F.col("main")).alias("outside"))
+    rare = ordered_pairs(sharing_rare_shingles(written(members, "members"), texts, least)).join(crossing, ["a", "b"], "left_anti")
+    named = linked(named, verified(rare, texts, least).select("a", "b"), "classes")
     rows = membership.join(named, F.col("rep") == F.col("id"), "left").select("place", "doc_id", F.coalesce("component", "rep").alias("class_place"))
     rows = rows.unionByName(every.where("text_hash IS NULL").select("place", "doc_id", F.col("place").alias("class_place")))
     lowest = rows.groupBy("class_place").agg(F.min("doc_id").alias("class_id"))
