@@ -176,6 +176,16 @@ def test_exact_passages_behind_less_alike_ones(spark):
     assert (2, 1) in got or {(1, 0), (2, 0)} <= got
 
 
+def test_words_between_seeds_are_compared(spark):
+    """Forms of 14 fixed and 6 free words are alike in 70 %, and in less than 80 % over any 50 words."""
+    r, texts = random.Random(19), []
+    for _ in range(40):
+        fixed = [some_words(r, 14) for _ in range(10)]
+        texts += [" ".join(w for part in fixed for w in part + some_words(r, 6)) for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "place long, text string")
+    assert passages.passages(docs).count() == 0
+
+
 def test_passage_query_leaves_no_long_run_twice(spark):
     rows = {r.doc_id: r.text.split() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     covered = {}
