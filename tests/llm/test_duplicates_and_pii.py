@@ -186,6 +186,18 @@ def test_words_between_seeds_are_compared(spark):
     assert passages.passages(docs).count() == 0
 
 
+def test_exact_passages_of_chains_that_fail(spark):
+    """P and Q in a document, P, other words and Q in a later one: P is cut whatever follows it."""
+    r, texts, want = random.Random(23), [], {}
+    for inserted, after in [(20, 12), (25, 20), (30, 40), (35, 60)] * 12:
+        p, q = some_words(r, 60), some_words(r, after)
+        want[len(texts) + 1] = set(range(5, 65))
+        texts += [" ".join(p + q), " ".join(some_words(r, 5) + p + some_words(r, inserted) + q)]
+    for x in passages.passages(spark.createDataFrame(list(enumerate(texts)), "place long, text string")).collect():
+        want[x.place] -= set(range(x.start, x.end))
+    assert not any(want.values())
+
+
 def test_passage_query_leaves_no_long_run_twice(spark):
     rows = {r.doc_id: r.text.split() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     covered = {}
