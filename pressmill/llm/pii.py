@@ -3,7 +3,9 @@
 What the fixed patterns find are seeds.  The words around seeds are lexical patterns; tokens that
 hold a digit or an at sign and are no seeds are candidates.  Spark scores the graph of patterns
 and instances in rounds: a pattern is trusted for a kind as far as its instances are of the kind,
-a candidate as far as its patterns are trusted.  Candidates of highly trusted patterns are added.
+a candidate as far as its patterns are trusted.  Candidates that highly trusted patterns name count
+towards the support of further patterns, and are added wherever they stand; so are all candidates
+of highly trusted patterns.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ EDGES = "\"'`.,;:!?()[]{}<>|*#$%&"
 #: Characters before and after an instance in which its neighbouring words are looked for.
 NEAR = 200
 LEAST_CANDIDATE, LEAST_DIGITS = 6, 4
-#: Rounds of scoring, trust from which a pattern counts, different seeds that it needs.
+#: Rounds of scoring, trust from which a pattern or a value counts, different seeds or such values that a pattern needs.
 ROUNDS, TRUST, SUPPORT = 3, 0.8, 5
 PLACE = "__place"
 SPAN = "struct<rank:int,start:long,end:long,value:string,before:string,after:string>"
@@ -155,39 +157,45 @@ def patterns(span):
     return F.array_compact(F.array(two, F.when((last != "") & (span["after"] != ""), F.concat(last, F.lit(" _ "), span["after"]))))
 
 
-def trusted_patterns(found: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, support: int = SUPPORT) -> DataFrame:
-    """Patterns trusted for a kind: ``pattern, rank, trust``.
+def trusted(found: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
+    """Patterns, and values of candidates, trusted for a kind: ``pattern, rank, trust`` and ``value, rank, trust``.
 
     Copies of a text give one edge, as edges are made distinct first; a very common pattern or
-    instance is summed before it is dealt out.
+    instance is summed before it is dealt out.  Patterns have a support of different seeds and, from
+    the second round on, of values that trusted patterns of the round before name; the one added to a
+    pattern's size and the number of rounds keep it from drifting.
     """
     spans = found.select(F.explode(F.concat("base", "candidates")).alias("s"))
     edges = written(spans.select(F.explode(patterns(F.col("s"))).alias("pattern"), "s.value", "s.rank").distinct(), "pii-edges")
     size = edges.groupBy("pattern").agg(F.count("*").alias("size"))
-    seeds = edges.where("rank IS NOT NULL").select("pattern", "rank", F.lit(1.0).alias("score"), F.lit(1).alias("seed"))
+    seeds = edges.where("rank IS NOT NULL").select("pattern", "rank", F.lit(1.0).alias("score"), F.lit(1).alias("support"))
     open_edges = edges.where("rank IS NULL").select("pattern", "value")
+    either = lambda score: 1 - F.exp(F.sum(F.log(F.greatest(1 - score, F.lit(1e-9)))))
     scored = seeds
     for k in range(rounds):
-        sums = scored.groupBy("pattern", "rank").agg(F.sum("score").alias("score"), F.sum("seed").alias("seeds"))
-        rated = sums.join(size, "pattern").select("pattern", "rank", (F.col("score") / (F.col("size") + 1)).alias("trust"), "seeds")
-        rated = written(rated, f"pii-patterns-{k}")
+        sums = scored.groupBy("pattern", "rank").agg(F.sum("score").alias("score"), F.sum("support").alias("support"))
+        rated = sums.join(size, "pattern").select("pattern", "rank", (F.col("score") / (F.col("size") + 1)).alias("trust"), "support")
+        good = written(rated.where(F.col("support") >= support).select("pattern", "rank", "trust"), f"pii-patterns-{k}")
+        sure = F.when(F.col("trust") >= trust, F.col("trust")).otherwise(0.0)
+        instances = open_edges.join(good, "pattern").groupBy("value", "rank").agg(either(F.col("trust")).alias("score"), either(sure).alias("sure"))
         if k < rounds - 1:
-            good = rated.where(F.col("seeds") >= support).select("pattern", "rank", "trust")
-            instances = open_edges.join(good, "pattern").groupBy("value", "rank").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))))).alias("score"))
-            scored = seeds.unionByName(open_edges.join(instances, "value").select("pattern", "rank", "score", F.lit(0).alias("seed")))
-    return rated.where((F.col("trust") >= trust) & (F.col("seeds") >= support)).select("pattern", "rank", "trust")
+            scored = seeds.unionByName(open_edges.join(instances, "value").select("pattern", "rank", "score", (F.col("sure") >= trust).cast("int").alias("support")))
+    values = instances.where(F.col("sure") >= trust).select("value", "rank", F.col("sure").alias("trust"))
+    return good.where(F.col("trust") >= trust), written(values, "pii-values")
 
 
 def found_in(docs: DataFrame) -> DataFrame:
-    """For each row of ``docs``: ``doc_id, place, base`` and ``more``, the spans that the patterns added.
+    """For each row of ``docs``: ``doc_id, place, base`` and ``more``, the spans that patterns and values added.
 
     Spans are structs of rank (of the kind in ``KINDS``), start and end in code points.  Null and
     empty texts have none; equal rows have equal spans; an empty table gives no row.
     """
     found = written(extracted(docs), "pii-found")
-    trusted = trusted_patterns(found)
-    open_spans = found.select("place", F.explode("candidates").alias("s")).select("place", "s", F.explode(patterns(F.col("s"))).alias("pattern"))
-    named = open_spans.join(trusted, "pattern").groupBy("place", "s.start", "s.end").agg(F.max_by("rank", F.struct("trust", -F.col("rank"))).alias("rank"))
+    by_pattern, by_value = trusted(found)
+    spans = found.select("place", F.explode("candidates").alias("s"))
+    named = spans.select("place", "s", F.explode(patterns(F.col("s"))).alias("pattern")).join(by_pattern, "pattern").select("place", "s.start", "s.end", "rank", "trust")
+    named = named.unionByName(spans.select("place", "s.start", "s.end", "s.value").join(by_value, "value").drop("value"))
+    named = named.groupBy("place", "start", "end").agg(F.max_by("rank", F.struct("trust", -F.col("rank"))).alias("rank"))
     more = named.groupBy("place").agg(F.collect_list(F.struct("start", "rank", "end")).alias("more"))
     plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
     return found.select("doc_id", "place", plain.alias("base")).join(more, "place", "left").withColumn("more", F.coalesce("more", F.array().cast("array<struct<start:long,rank:int,end:long>>")))

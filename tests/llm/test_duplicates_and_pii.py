@@ -267,6 +267,21 @@ def test_patterns_find_unseen_identifiers(spark):
     assert pii.found_in(docs.limit(0)).count() == 0 and pii.redacted(docs.limit(0)).count() == 0
 
 
+def test_found_identifiers_find_further_ones(spark):
+    """Values named by a trusted pattern are marked elsewhere, and make a pattern without seeds trusted."""
+    r = random.Random(29)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(9))
+    texts = [f"{word()} please write to {word()}{k}@mail.example.com about {word()}" for k in range(200)]
+    texts += [f"{word()} please write to user{k}@localhost about {word()}" for k in range(20)]
+    owned = range(len(texts), len(texts) + 21)
+    texts += [f"{word()} the inbox owner user{k}@localhost {word()}" for k in [*range(20), 777]]
+    texts += [f"{word()} {word()} user7@localhost {word()}", f"{word()} chapter part 90125512 and {word()}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    more = {x.doc_id: [texts[x.doc_id][s.start : s.end] for s in x.more] for x in pii.found_in(docs).collect() if x.more}
+    want = {200 + k: [f"user{k}@localhost"] for k in range(20)} | {d: [texts[d].split()[4]] for d in owned} | {owned[-1] + 1: ["user7@localhost"]}
+    assert more == want
+
+
 def test_pii_query(spark):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     from hashlib import sha256
