@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressmill.llm import chat, fingerprints, language, near_duplicates, packing, passages, pieces, pii, quality_model, quality_rules
+from pressmill.llm import backoff, chat, fingerprints, language, near_duplicates, packing, passages, pieces, pii, quality_model, quality_rules
 from pressmill.llm.common import table
 from pressmill.session import written
 
@@ -83,6 +83,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op11_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.scored(table(spark, sf_dir, "documents"), ~fold(5, 1)).rows
+
+
 QUERIES: dict[str, Run] = {
     "op1_language_id": op1_language_id,
     "op2_quality_classifier": op2_quality_classifier,
@@ -94,5 +98,6 @@ QUERIES: dict[str, Run] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_backoff_scores": op11_backoff_scores,
 }
 ORACLE_SQL: dict[str, str] = {}
