@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressmill.llm import backoff, chat, fingerprints, language, near_duplicates, packing, passages, pieces, pii, quality_model, quality_rules
+from pressmill.llm import backoff, chat, fingerprints, language, near_duplicates, packing, passages, pieces, pii, quality_model, quality_rules, variants
 from pressmill.llm.common import table
 from pressmill.session import written
 
@@ -87,6 +87,11 @@ def op11_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff.scored(table(spark, sf_dir, "documents"), ~fold(5, 1)).rows
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = variants.variants(table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Run] = {
     "op1_language_id": op1_language_id,
     "op2_quality_classifier": op2_quality_classifier,
@@ -99,5 +104,6 @@ QUERIES: dict[str, Run] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_backoff_scores": op11_backoff_scores,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 ORACLE_SQL: dict[str, str] = {}
