@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressmill.llm import blobs
-from pressmill.llm.blobs import chained, cuts, expand, expand_keys, squeeze, squeeze_keys
+from pressmill.llm.blobs import batch_of, chained, cuts, expand, expand_keys, grouped, squeeze, squeeze_keys
 from pressmill.llm.common import slices, texts_of
 from pressmill.session import new_shared_path, written
 
@@ -44,13 +44,6 @@ PART_ROWS = (
 WEIGHT_ROWS = "kind string, n int, block long, bucket int, keys binary, weights binary, doc binary, doc_ids array<long>, trained array<boolean>, tokens binary, known binary, base binary, score binary"
 
 
-def batch_of(rows: list[dict], ddl: str) -> pa.RecordBatch:
-    names = [part.split()[0] for part in ddl.split(", ")]
-    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
-    types = [kinds[part.split()[1]] for part in ddl.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in zip(names, types)], names)
-
-
 def blocks(docs: DataFrame, trained: Column, size: int = blobs.BLOCK) -> DataFrame:
     """Texts in blocks of about ``size`` tokens: hashes of a block's distinct words, and its tokens as places among them."""
 
@@ -137,11 +130,6 @@ def requests(rows: DataFrame, order: int, bits: int) -> DataFrame:
     return rows.mapInArrow(run, COUNT_ROWS)
 
 
-def grouped(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of several arrays, and the place among them of every key in turn."""
-    return np.unique(np.concatenate(keys), return_inverse=True)
-
-
 def summed(table: pa.Table) -> pa.Table:
     """One bucket: counts of all blocks added up, as the model's rows and as answers to the blocks.
 

@@ -66,3 +66,16 @@ def cuts(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
 def chained(before: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Keys of n-grams, from the keys of all words but the last and of the last word."""
     return mix(before + np.uint64(0x9E3779B97F4A7C15)) + last
+
+
+def grouped(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of several arrays, and the place among them of every key in turn."""
+    return np.unique(np.concatenate(keys), return_inverse=True)
+
+
+def batch_of(rows: list[dict], ddl: str) -> pa.RecordBatch:
+    """Arrow rows with the columns of ``ddl``; what a row lacks is null."""
+    names = [part.split()[0] for part in ddl.split(", ")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
+    types = [kinds[part.split()[1]] for part in ddl.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in zip(names, types)], names)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressmill.llm import backoff, chat, fingerprints, language, near_duplicates, packing, passages, pieces, pii, quality_model, quality_rules, variants
+from pressmill.llm import backoff, chat, collocations, fingerprints, language, near_duplicates, packing, passages, pieces, pii, quality_model, quality_rules, variants
 from pressmill.llm.common import table
 from pressmill.session import written
 
@@ -92,6 +92,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Run] = {
     "op1_language_id": op1_language_id,
     "op2_quality_classifier": op2_quality_classifier,
@@ -105,5 +109,6 @@ QUERIES: dict[str, Run] = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_backoff_scores": op11_backoff_scores,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_collocations": op13_collocations,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op13_collocations": collocations.SQL}
