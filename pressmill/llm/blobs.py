@@ -16,7 +16,7 @@ import pyarrow as pa
 from pressmill.llm.common import mix
 
 #: Words in a block, and distinct keys that a bucket receives, about.
-BLOCK, BUCKET = 1 << 22, 1 << 21
+BLOCK, BUCKET = 1 << 21, 1 << 21
 #: Buckets at least (as a power of two), so that small inputs spread as well.
 LEAST_BITS = 6
 
