@@ -89,12 +89,12 @@ class Grams:
     def __init__(self, row: dict, order: int):
         lengths = expand(row["lengths"])
         self.docs = len(lengths)
-        self.doc = np.repeat(np.arange(self.docs), lengths)
-        self.place = np.arange(len(self.doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.doc = np.repeat(np.arange(self.docs, dtype=np.int32), lengths)
+        self.place = np.arange(len(self.doc), dtype=np.int32) - np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
         self.trained = np.array(row["trained"], bool)
-        hashes, sequence = expand(row["words"], "<u8"), expand(row["sequence"])
+        hashes, sequence = expand(row["words"], "<u8"), expand(row["sequence"]).astype(np.int32)
         by_key = np.argsort(hashes, kind="stable")
-        rank = np.empty(len(by_key), np.int64)
+        rank = np.empty(len(by_key), np.int32)
         rank[by_key] = np.arange(len(by_key))
         self.keys, self.ends, self.first = {1: hashes[by_key]}, {1: rank[sequence]}, {}
         at = hashes[sequence]
@@ -104,9 +104,10 @@ class Grams:
             longer[here] = chained(at[here - 1], hashes[sequence[here]])
             keys, first, ends = np.unique(longer[here], return_index=True, return_inverse=True)
             self.keys[n], self.first[n] = keys, here[first]
-            self.ends[n] = np.full(len(at), -1, np.int64)
+            self.ends[n] = np.full(len(at), -1, np.int32)
             self.ends[n][here] = ends
             at = longer
+            del longer, first, ends, here
 
     def counts(self, n: int) -> np.ndarray:
         """Occurrences of each distinct n-gram in training texts."""
