@@ -31,6 +31,11 @@ def build_events(ledger: DataFrame, namespace: str = NAMESPACE, source: str = SO
     steps = with_previous(changes, ["job_id"], "ledger_seq", "status", "previous_status", chunk_of(F.col("ledger_seq")))
     others = ledger.filter(F.col("status").isNull()).withColumn("previous_status", F.lit(None).cast("string"))
     steps = steps.unionByName(others)
+    return typed_events(steps, namespace, source)
+
+
+def typed_events(steps: DataFrame, namespace: str = NAMESPACE, source: str = SOURCE) -> DataFrame:
+    """Events of ledger rows that know the status before theirs (``previous_status``)."""
     kind = (
         F.when(F.col("status") == "running", "job.started")
         .when((F.col("status") == "queued") & (F.col("previous_status") == "paused"), "job.resumed")
