@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 CHUNK = 100_000
 SALT_ROWS, SALT_STEP = 1_000_000, 64
+#: Slots, or sessions at the edges of chunks, that one window of a clock sees.
+TREE_WIDTH = 4096
 
 
 def chunk_of(order: Column, width: int = CHUNK) -> Column:
@@ -95,35 +97,53 @@ def progress_points(
     )
 
 
-def activity_sessions(events: DataFrame, at: str, gap_seconds: int, *keys: str) -> DataFrame:
+def activity_sessions(events: DataFrame, at: str, gap_seconds: int, *keys: str, width: int = TREE_WIDTH) -> DataFrame:
     """Sessions of activity per key: a gap of ``gap_seconds`` or more closes one; its end starts idleness.
 
     Without keys all events share one clock.  Events in the same gap-wide slot are always in one
-    session, so rows are first folded to one per slot; the windows then run over slots, whose
-    number depends on the time covered and not on the data.
+    session, so rows are first folded to one per slot.  Slots are then joined to sessions within
+    chunks of ``width`` slots.  Only the first and the last session of a chunk may go on beside it;
+    these meet in chunks ``width`` times as wide, and so on up a tree, so no task reads all slots
+    of a clock, however long it runs.
     """
     micros = gap_seconds * 1_000_000
     us = F.unix_micros(F.col(at).cast("timestamp"))
-    clock = list(keys) or ["_clock"]
-    base = events if keys else events.withColumn("_clock", F.lit(0))
     slots = (
-        base.withColumn("_us", us)
-        .groupBy(*clock, F.floor(F.col("_us") / F.lit(micros)).alias("_slot"))
-        .agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"), F.count("*").alias("_n"))
+        events.withColumn("_us", us)
+        .where("_us IS NOT NULL")
+        .groupBy(*keys, F.floor(F.col("_us") / F.lit(micros)).alias("_slot"))
+        .agg(F.min("_us").alias("_a"), F.max("_us").alias("_b"), F.count("*").alias("_n"))
     )
-    order = Window.partitionBy(*clock).orderBy("_slot")
-    opened = slots.withColumn("_prev", F.lag("_last").over(order)).withColumn(
-        "_opens", F.when(F.col("_first") - F.col("_prev") < micros, 0).otherwise(1)
+    ends = slots.agg(F.min("_slot"), F.max("_slot")).first()
+    rows, closed, wide = slots, [], width
+    while True:
+        sessions = _joined_in_chunks(rows, keys, F.floor(F.col("_slot") / F.lit(wide)), micros)
+        if ends[0] is None or ends[0] // wide == ends[1] // wide:
+            break
+        closed.append(sessions.where("NOT _edge"))
+        rows, wide = sessions.where("_edge"), wide * width
+    for part in closed:
+        sessions = sessions.unionByName(part)
+    return sessions.select(
+        *keys,
+        F.timestamp_micros("_a").alias("session_start"),
+        F.timestamp_micros("_b").alias("last_activity"),
+        F.timestamp_micros(F.col("_b") + micros).alias("idle_from"),
+        F.col("_n").alias("events"),
     )
-    numbered = opened.withColumn("_session", F.sum("_opens").over(order))
+
+
+def _joined_in_chunks(rows: DataFrame, keys: tuple[str, ...], chunk: Column, micros: int) -> DataFrame:
+    """Intervals (``_slot, _a, _b, _n``) joined to sessions inside each chunk of slots; ``_edge``: the chunk's first or last."""
+    rows = rows.withColumn("_chunk", chunk)
+    inside = Window.partitionBy(*keys, "_chunk")
+    order = inside.orderBy("_a")
+    gap = F.col("_a") - F.lag("_b").over(order)
+    numbered = rows.withColumn("_opens", F.when(gap < micros, 0).otherwise(1)).withColumn("_session", F.sum("_opens").over(order))
+    numbered = numbered.withColumn("_final", F.max("_session").over(inside))
     return (
-        numbered.groupBy(*clock, "_session")
-        .agg(F.min("_first").alias("_a"), F.max("_last").alias("_b"), F.sum("_n").alias("events"))
-        .select(
-            *keys,
-            F.timestamp_micros("_a").alias("session_start"),
-            F.timestamp_micros("_b").alias("last_activity"),
-            F.timestamp_micros(F.col("_b") + micros).alias("idle_from"),
-            "events",
-        )
+        numbered.groupBy(*keys, "_chunk", "_session")
+        .agg(F.min("_slot").alias("_slot"), F.min("_a").alias("_a"), F.max("_b").alias("_b"), F.sum("_n").alias("_n"), F.max("_final").alias("_final"))
+        .withColumn("_edge", (F.col("_session") == 1) | (F.col("_session") == F.col("_final")))
+        .select(*keys, "_slot", "_a", "_b", "_n", "_edge")
     )

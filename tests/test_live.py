@@ -78,3 +78,40 @@ def test_deliveries_come_due_on_their_own(spark, tmp_path):
         ("lost", "retry", 2, None, 2), ("busy", "retry", 2, 429, 3), ("gone", "dead", 1, 404, 0),
         ("lost", "retry", 3, 500, 105), ("lost", "dead", 3, 500, 301),
     } and due.count() == 5
+
+
+def test_sessions_of_one_clock_merge_up_a_tree(spark):
+    import random
+
+    from pressmill.operators import ordered as O
+
+    rng = random.Random(5)
+    for _ in range(1):
+        at, times = 0.0, []
+        for _ in range(200):
+            at += rng.choice([1, 5, 9, 9.999999, 10, 11, 40, 300])
+            times.append(DAY + timedelta(seconds=at))
+        want, gap = [], timedelta(seconds=10)
+        for t in times:
+            if want and t - want[-1][1] < gap:
+                want[-1][1], want[-1][2] = t, want[-1][2] + 1
+            else:
+                want.append([t, t, 1])
+        rows = spark.createDataFrame([(t, k % 2) for k, t in enumerate(times)] + [(None, 1)], "ts timestamp, k int")
+        for width in (3, 4096):
+            got = O.activity_sessions(rows, "ts", 10, width=width).collect()
+            assert sorted([r.session_start, r.last_activity, r.events] for r in got) == want, width
+        whole = {tuple(r) for r in O.activity_sessions(rows, "ts", 10, "k").collect()}
+        assert {tuple(r) for r in O.activity_sessions(rows, "ts", 10, "k", width=3).collect()} == whole
+    assert O.activity_sessions(rows.limit(0), "ts", 10).count() == 0
+
+
+def test_no_window_of_a_clock_sees_more_than_its_width(spark):
+    from pressmill.operators import ordered as O
+
+    slots = spark.range(10_000).select(F.col("id").alias("_slot"), (F.col("id") * 10).alias("_a"), (F.col("id") * 10 + F.col("id") % 7).alias("_b"), F.lit(1).cast("bigint").alias("_n"))
+    wide, rows = 16, slots
+    while rows.count() > 16:
+        assert rows.groupBy(F.floor(F.col("_slot") / wide)).count().agg(F.max("count")).first()[0] <= 2 * 16
+        rows = O._joined_in_chunks(rows, (), F.floor(F.col("_slot") / wide), 6).where("_edge")
+        wide *= 16
