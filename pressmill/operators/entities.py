@@ -56,18 +56,43 @@ def _span(start: Column, text: Column, priority: int | Column, kind: str | Colum
     )
 
 
+#: Steps that one part of a scan works through before its results are set aside.
+SCAN_PART = 128
+
+
+def scanned(steps: Column, first: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """One pass over an array that carries a state: ``step(state, x)`` gives the next state and an ``array<kind>``.
+
+    An array that grows by one element at a time is copied at each step, which is quadratic in the
+    text.  Results are gathered for each part of ``SCAN_PART`` steps and joined once at the end.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def part(xs: Column, state: Column) -> Column:
+        def one(acc: Column, x: Column) -> Column:
+            after, found = step(acc["state"], x)
+            return F.struct(after.alias("state"), F.concat(acc["found"], found).alias("found"))
+
+        return F.aggregate(xs, F.struct(state.alias("state"), none.alias("found")), one)
+
+    def whole(xs: Column) -> Column:
+        starts = F.when(F.size(xs) > 0, F.sequence(F.lit(1), F.size(xs), F.lit(SCAN_PART))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(
+            starts,
+            F.struct(first.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("parts")),
+            lambda acc, i: bind(
+                part(F.slice(xs, i, F.lit(SCAN_PART)), acc["state"]),
+                lambda done: F.struct(done["state"].alias("state"), F.concat(acc["parts"], F.array(done["found"])).alias("parts")),
+            ),
+            lambda acc: F.flatten(acc["parts"]),
+        )
+
+    return bind(steps, whole)
+
+
 def running_starts(steps: Column, offset, width) -> Column:
     """For each step the widths of those before it plus its own offset, in one pass."""
-    none = F.array().cast("array<int>")
-    return F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), none.alias("starts")),
-        lambda acc, x: F.struct(
-            (acc["at"] + width(x)).cast("int").alias("at"),
-            F.concat(acc["starts"], F.array((acc["at"] + offset(x)).cast("int"))).alias("starts"),
-        ),
-        lambda acc: acc["starts"],
-    )
+    return scanned(steps, F.lit(0), "int", lambda at, x: ((at + width(x)).cast("int"), F.array((at + offset(x)).cast("int"))))
 
 
 def pattern_spans(text: Column, pattern: str, kind: str, priority: int = 0) -> Column:
@@ -166,28 +191,13 @@ def one_type_each(gazetteer: DataFrame) -> DataFrame:
 
 def resolve_overlaps(spans: Column, types: list[str] | None = None) -> Column:
     """Leftmost spans win, longer before shorter; the rest that overlaps goes.  Offsets are exclusive."""
-    picked = F.aggregate(
-        F.array_sort(spans),
-        F.struct(F.lit(0).cast("bigint").alias("end"), F.array().cast(ENTITIES).alias("kept")),
-        lambda acc, s: F.when(
-            s["start"] >= acc["end"],
-            F.struct(
-                (-s["rev_end"]).alias("end"),
-                F.concat(
-                    acc["kept"],
-                    F.array(
-                        F.struct(
-                            s["text"].alias("text"),
-                            s["type"].alias("type"),
-                            s["start"].alias("start_char"),
-                            (-s["rev_end"]).alias("end_char"),
-                        )
-                    ),
-                ).alias("kept"),
-            ),
-        ).otherwise(acc),
-        lambda acc: acc["kept"],
-    )
+
+    def step(end: Column, s: Column) -> tuple[Column, Column]:
+        free = s["start"] >= end
+        entity = F.struct(s["text"].alias("text"), s["type"].alias("type"), s["start"].alias("start_char"), (-s["rev_end"]).alias("end_char"))
+        return F.when(free, -s["rev_end"]).otherwise(end), F.when(free, F.array(entity)).otherwise(F.array().cast(ENTITIES))
+
+    picked = scanned(F.array_sort(spans), F.lit(0).cast("bigint"), ENTITIES.elementType.simpleString(), step)
     return keep_types(picked, types or fixed.ENTITY_TYPES)
 
 

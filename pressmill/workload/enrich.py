@@ -183,22 +183,22 @@ def typo_correction_spares_entities(spark, sf):
     return out.select("c_custkey", "corrected")
 
 
+_MATCHES = "\n    UNION ALL ".join(
+    f"SELECT l_orderkey, l_partkey, l_linenumber, '{kind}' AS type, c, regexp_extract(c, '{pattern}') AS text FROM (SELECT *, {D.sql_clean('text')} AS c FROM {D.RECEIPTS})"
+    for kind, pattern in [("MONEY", "USD [0-9]+\\. [0-9]{2}"), ("MONEY", "[0-9]+ EUR"), ("MONEY", "GBP [0-9]+\\. [0-9]{2}"), ("PERCENT", "[0-9]+ percent")]
+)
+
+
 @query(
     "E4 E5",
-    f"""SELECT l_orderkey, l_partkey, l_linenumber, 'MONEY' AS type, regexp_extract(c, 'USD [0-9]+\\. [0-9]{{2}}') AS text
-      FROM (SELECT *, {D.sql_clean('text')} AS c FROM {D.RECEIPTS})
-    UNION ALL SELECT l_orderkey, l_partkey, l_linenumber, 'MONEY', regexp_extract(c, '[0-9]+ EUR')
-      FROM (SELECT *, {D.sql_clean('text')} AS c FROM {D.RECEIPTS})
-    UNION ALL SELECT l_orderkey, l_partkey, l_linenumber, 'MONEY', regexp_extract(c, 'GBP [0-9]+\\. [0-9]{{2}}')
-      FROM (SELECT *, {D.sql_clean('text')} AS c FROM {D.RECEIPTS})
-    UNION ALL SELECT l_orderkey, l_partkey, l_linenumber, 'PERCENT', regexp_extract(c, '[0-9]+ percent')
-      FROM (SELECT *, {D.sql_clean('text')} AS c FROM {D.RECEIPTS})""",
+    f"""SELECT l_orderkey, l_partkey, l_linenumber, type, text, strpos(c, text) - 1 AS start_char, strpos(c, text) - 1 + length(text) AS end_char
+    FROM ({_MATCHES})""",
 )
 def entities_by_pattern(spark, sf):
     r = D.receipts(spark, sf).withColumn("c", clean_text(F.col("text")))
     tagged = r.withColumn("entities", E.tag_patterns(F.col("c"), ["MONEY", "PERCENT"]))
     e = explode_rows(tagged, F.col("entities"), "e", "l_orderkey", "l_partkey", "l_linenumber")
-    return e.select("l_orderkey", "l_partkey", "l_linenumber", "e.type", "e.text")
+    return e.select("l_orderkey", "l_partkey", "l_linenumber", "e.type", "e.text", "e.start_char", "e.end_char")
 
 
 # --- language -----------------------------------------------------------------------------------
