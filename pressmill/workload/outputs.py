@@ -412,3 +412,55 @@ def managed_jobs(spark, sf):
     jobs = store.jobs().select("job_id", "status", "total_documents", "processed_documents", "failed_documents", "resumed")
     out = jobs.join(steps, "job_id").join(points, "job_id").join(results, "job_id", "left")
     return out.withColumn("results", F.coalesce("results", F.lit(0)))
+
+
+class _Killed(BaseException):
+    """The driver of a run goes away."""
+
+
+_STEPS_OF_A_TAKEN_JOB = "job.started|job.progress|job.started|job.progress|job.completed"
+
+
+@query(
+    "B1 B2 B3 B5 ST1 J1 J2 K2",
+    f"""SELECT source AS job_id, CASE WHEN source < 'src5' THEN 'completed' ELSE 'failed' END AS status,
+      CASE WHEN source >= 'src5' THEN 'ValueError: no space left' END AS error_message,
+      CASE WHEN source < 'src5' THEN '{_STEPS_OF_A_TAKEN_JOB}' ELSE 'job.started|job.progress|job.failed' END AS steps,
+      CASE WHEN source < 'src5' THEN count(*) FILTER (doc_id % 10 <> 3) END AS results,
+      CASE WHEN source < 'src5' THEN count(*) FILTER (doc_id % 10 <> 3) END AS documents
+    FROM documents GROUP BY source""",
+)
+def interrupted_jobs(spark, sf):
+    """A run that dies between a slice's results and its commit, taken over by another; and one whose slice fails."""
+    rows = articles(spark, sf).withColumn("seq", F.substring("document_id", 5, 20).cast("bigint"))
+    rows = rows.withColumn("job_id", F.col("author")).withColumn("outcome", F.when(F.col("seq") % 10 == 3, "validation_error").otherwise("ok"))
+    store = JobStore(spark, new_shared_path(spark, "jobs"))
+    clock = iter(range(1000))
+
+    def now():
+        return F.timestamp_seconds(F.lit(1704067200 + next(clock)))
+
+    def stop(problem):
+        def during(k):
+            if k == 1:
+                raise problem
+
+        return during
+
+    store.queue(rows.groupBy("job_id").agg(F.count("*").alias("total_documents")).withColumn("at", now()))
+    taken, failing = rows.where("job_id < 'src5'"), rows.where("job_id >= 'src5'")
+    try:
+        run_jobs(store, taken, _as_of(), now, 2, during=stop(_Killed()), run="first")
+    except _Killed:
+        run_jobs(store, taken, _as_of(), now, 2, take_over="first")
+    try:
+        run_jobs(store, failing, _as_of(), now, 2, during=stop(ValueError("no space left")))
+    except ValueError:
+        pass  # told by the ledger
+    kinds = store.events().select(F.substring_index("subject", "/", -1).alias("job_id"), "time", F.expr("substring(type, 10)").alias("kind"))
+    steps = kinds.groupBy("job_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("time", "kind"))), lambda e: e["kind"]), "|").alias("steps"))
+    results = store.results().where("job_id < 'src5'").groupBy("job_id").agg(F.count("*").alias("results"), F.count_distinct("document_id").alias("documents"))
+    jobs = store.jobs().select("job_id", "status", "error_message")
+    out = jobs.join(steps, "job_id").join(results, "job_id", "left")
+    known = lambda c: F.when(F.col("status") == "completed", F.coalesce(c, F.lit(0))).alias(c)
+    return out.select("job_id", "status", "error_message", "steps", known("results"), known("documents"))
