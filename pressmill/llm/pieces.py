@@ -163,22 +163,34 @@ class Lattice:
         found = self.ways.get((chunk, n))
         if found is None:
             found = self.n_best(chunk, n)
+            # the way that the forward pass took is the first of its equals
+            first = self.scored(chunk)[0]
+            found = [(found[0][0], first), *[w for w in found if w[1] != first]][:n]
             if len(chunk) <= 64:
                 self.ways[chunk, n] = found
                 self.chars += n * len(chunk)
         return found
 
     def n_best(self, chunk: str, n: int) -> list[tuple[float, bytes]]:
-        """The ``n`` best ways, best first: score and ids.  Backward A-star with the forward scores."""
+        """The ``n`` best ways, best first: score and ids.  Backward A-star with the forward scores.
+
+        No way among the ``n`` best goes on from a place by any but its ``n`` best rests, which are
+        the first ``n`` to reach it, so a place is left ``n`` times at most.  Among equal totals the
+        last found, which is the furthest, goes first.  Long runs of one character, with their many
+        equal ways, thus cost in proportion to their length.
+        """
         best = self.forward(chunk)[0]
         arriving: list[list[tuple[int, float, bytes]]] = [[] for _ in range(len(chunk) + 1)]
         for i in range(len(chunk)):
             for j, score, ids in self.edges(chunk, i):
                 arriving[j].append((i, score, ids))
-        order, out = count(), []
+        order, out, reached = count(0, -1), [], [0] * len(arriving)
         agenda = [(-best[-1], next(order), len(chunk), 0.0, None)]
         while agenda and len(out) < n:
             _, _, j, behind, way = heapq.heappop(agenda)
+            if reached[j] == n:
+                continue
+            reached[j] += 1
             if not j:
                 ids = []
                 while way:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from binascii import crc32
 from hashlib import sha256
 
@@ -113,6 +114,23 @@ def test_n_best_equals_all_ways(lattice, text, n):
     assert lattice.decode(got[0][1]) == text
 
 
+@pytest.mark.parametrize("text", ["aaaaaaaa", "--------", "abababab", "a-a-a-a-"])
+def test_n_best_of_repeated_letters(lattice, text):
+    for n in (1, 2, 5, 30):
+        ways, got = every_way(lattice, text), lattice.segment(text, n)
+        assert [s for s, _ in got] == pytest.approx([s for s, _ in ways[:n]], abs=1e-9) and len({i for _, i in got}) == len(got) == min(n, len(ways))
+        assert {i for _, i in got} <= {i for _, i in ways}
+
+
+@pytest.mark.parametrize("text", ["a", "-", "=", "ab"])
+def test_long_runs_of_a_character_cost_in_proportion(lattice, text):
+    start = time.time()
+    found = lattice.segment(text * (200_000 // len(text)), 5)
+    assert len(found) == 5 and [f[0] for f in found] == sorted((f[0] for f in found), reverse=True)
+    assert all(lattice.decode(ids) == text * (200_000 // len(text)) for _, ids in found)
+    assert time.time() - start < 60
+
+
 def test_segmentation_edges(spark):
     docs = spark.createDataFrame([(1, None, 0.5), (2, "", 0.5), (3, "a▁b", 0.5), (4, "the cat", 0.5), (4, "the cat", 0.5)], "doc_id long, text string, score double")
     got = sorted(pieces.segmented(docs, tokenizer_file(PIECE)).collect(), key=lambda r: r.doc_id)
