@@ -398,11 +398,16 @@ def full_records_enriched(spark, sf):
 
 @query(
     "E11 K2",
-    "SELECT 'doc-' || doc_id AS document_id, '1.0' AS version, true AS whole FROM documents",
+    f"SELECT document_id, version, document_id AS inner_id, original_text, cleaned_text, cleaned_title, cleaned_author, cleaned_publication_date, cleaned_word_count, cleaned_additional_metadata FROM ({_RECORDS})",
 )
 def result_envelopes(spark, sf):
     out = envelope(process_articles(articles(spark, sf), F.lit("2024-06-01").cast("date")))
-    return out.select("document_id", "version", F.col("processed_data.original_text").isNotNull().alias("whole"))
+    inner = [f"processed_data.{n}" for n in ("original_text", "cleaned_text", "cleaned_title", "cleaned_author", "cleaned_word_count")]
+    return out.select(
+        "document_id", "version", F.col("processed_data.document_id").alias("inner_id"), *inner,
+        F.col("processed_data.cleaned_publication_date").cast("string").alias("cleaned_publication_date"),
+        F.to_json("processed_data.cleaned_additional_metadata").alias("cleaned_additional_metadata"),
+    )
 
 
 @query("U1", "SELECT doc_id, length(text) AS chars, length(text) - length(replace(text, 'e', '')) AS letters_e FROM documents")
@@ -420,5 +425,5 @@ def injected_annotator(spark, sf):
     from pyspark.sql import types as Ty
 
     added = Ty.StructType([Ty.StructField("chars", Ty.LongType()), Ty.StructField("letters_e", Ty.LongType())])
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    return annotate(d, "letters", factory, added).select("doc_id", "chars", "letters_e")
+    d = table(spark, sf, "documents")
+    return annotate(d, "letters", factory, added, reads=["text"]).select("doc_id", "chars", "letters_e")

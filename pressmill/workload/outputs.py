@@ -41,13 +41,15 @@ def _as_of():
     "SELECT '2024-01-03', page_id + 1000000000, url FROM pages",
 )
 def daily_json_lines(spark, sf):
-    """Two appends; the second keeps what the first wrote."""
+    """Three runs, one of them twice; none takes away what another wrote."""
     path = new_shared_path(spark, "daily")
     day = F.concat(F.lit("2024-01-0"), (F.col("doc_id") % 3 + 1).cast("string"))
-    files.append_daily(table(spark, sf, "documents").select("doc_id", "text"), path, day)
+    files.append_daily(table(spark, sf, "documents").select("doc_id", "text").where("doc_id % 2 = 0"), path, day, "even")
+    files.append_daily(table(spark, sf, "documents").select("doc_id", "text").where("doc_id % 2 = 1"), path, day, "odd")
     more = table(spark, sf, "pages").select((F.col("page_id") + 1000000000).alias("doc_id"), F.col("url").alias("text"))
-    files.append_daily(more, path, F.lit("2024-01-03"))
-    return spark.read.schema("doc_id bigint, text string, ingest_date string").json(path)
+    for _ in range(2):
+        files.append_daily(more, path, F.lit("2024-01-03"), "pages")
+    return spark.read.schema("doc_id bigint, text string, ingest_date string").json(path).drop("run")
 
 
 @query(

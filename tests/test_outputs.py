@@ -28,6 +28,15 @@ def test_daily_append_keeps_earlier_rows(spark, tmp_path):
     assert spark.read.json(path).groupBy("ingest_date").count().count() == 2 and spark.read.json(path).count() == 4
 
 
+def test_a_run_told_twice_leaves_one_copy(spark, tmp_path):
+    path, day = str(tmp_path / "out"), F.concat(F.lit("2024-01-0"), "text")
+    files.append_daily(_rows(spark, ("a", "1"), ("b", "2")), path, day, "first")
+    files.append_daily(_rows(spark, ("c", "1")), path, day, "second")
+    files.append_daily(_rows(spark, ("a", "1"), ("b", "2")), path, day, "first")
+    got = sorted((r.ingest_date.isoformat(), r.run, r.document_id) for r in spark.read.json(path).collect())
+    assert got == [("2024-01-01", "first", "a"), ("2024-01-01", "second", "c"), ("2024-01-02", "first", "b")]
+
+
 def test_error_report_only_with_errors(spark, tmp_path):
     none = spark.createDataFrame([(0,)], "total_errors int")
     assert not files.write_error_report(_rows(spark), none, str(tmp_path / "r"))
