@@ -248,6 +248,39 @@ def language_detection_joined(spark, sf):
     return L.detect_by_join(d, "c", profiles).select("doc_id", "language")
 
 
+_MODEL = """counted AS (SELECT lang, gram, count(*) AS n FROM grams GROUP BY lang, gram),
+      totals AS (SELECT lang, sum(n) + 0.5 * (SELECT count(DISTINCT gram) + 1 FROM counted) AS mass FROM counted GROUP BY lang),
+      model AS (SELECT lang, gram, n, CAST(round(ln((n + 0.5) / CAST(mass AS DOUBLE)) * 1000000) AS BIGINT) AS weight,
+        CAST(round(ln(CAST(0.5 AS DOUBLE) / CAST(mass AS DOUBLE)) * 1000000) AS BIGINT) AS floor FROM counted JOIN totals USING (lang))"""
+
+
+@query("E3", f"WITH docs AS {_CLEAN_DOCS}, grams AS {_GRAMS}, {_MODEL} SELECT * FROM model")
+def language_model(spark, sf):
+    """Smoothed log-probability of each letter group in each language."""
+    d = table(spark, sf, "documents").select("lang", clean_text(F.col("text")).alias("c"))
+    return L.learn_model(d, "c", "lang")
+
+
+@query(
+    "E3",
+    f"""WITH docs AS {_CLEAN_DOCS}, grams AS {_GRAMS}, {_MODEL},
+      sizes AS (SELECT doc_id, count(*) AS size FROM grams GROUP BY doc_id),
+      gained AS (SELECT doc_id, m.lang, max(floor) AS floor, sum(weight - floor) AS gain FROM grams g JOIN model m ON g.gram = m.gram
+        GROUP BY doc_id, m.lang),
+      scored AS (SELECT doc_id, lang, size, CAST(gain + size * floor AS BIGINT) AS total FROM gained JOIN sizes USING (doc_id)),
+      ranked AS (SELECT *, row_number() OVER w AS rn, lead(total) OVER w AS behind FROM scored
+        WINDOW w AS (PARTITION BY doc_id ORDER BY total DESC, lang))
+    SELECT d.doc_id, r.lang AS language, CAST(total AS DOUBLE) / (size * CAST(1000000 AS DOUBLE)) AS language_score,
+      CAST(total - behind AS DOUBLE) / (size * CAST(1000000 AS DOUBLE)) AS language_margin
+    FROM docs d LEFT JOIN ranked r ON d.doc_id = r.doc_id AND r.rn = 1 AND length(trim(d.c)) >= 10""",
+)
+def language_likelihood(spark, sf):
+    """The likeliest language of each cleaned text, its score and the margin to the next."""
+    d = _settled_documents(spark, sf)
+    model = written(L.learn_model(d, "c", "lang"), "language-model")
+    return L.detect_by_likelihood(d, "c", model).select("doc_id", "language", "language_score", "language_margin")
+
+
 def _settled_documents(spark, sf):
     """Cleaned once: learning and detection both read it."""
     return written(table(spark, sf, "documents").select("doc_id", "lang", clean_text(F.col("text")).alias("c")), "cleaned-texts")

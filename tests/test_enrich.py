@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from pressmill.operators import typos as T
 from pressmill.operators.annotators import annotate
 from pressmill.plans.article import Enrichment, process_articles
 from pressmill.schema import ARTICLE
+from pressmill.session import written
 
 WORDS = [("test", 50), ("this", 100), ("is", 90), ("a", 200), ("the", 300), ("and", 150), ("cat", 40)]
 
@@ -143,6 +146,45 @@ def test_language(spark):
     assert [r[0] for r in short.select(L.detect_language(F.col("t"), profiles)).collect()] == [None] * 3
 
 
+def test_likelihood_of_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", clean_text(F.col("text")).alias("c"))
+    taught = written(L.learn_model(docs.where("doc_id % 2 = 0"), "c", "lang"), "language-model")
+    got = L.detect_by_likelihood(docs.where("doc_id % 2 = 1 AND length(c) >= 10"), "c", taught)
+    assert got.where("language = lang").count() >= 0.99 * got.count()
+    assert got.where("language_margin <= 0 OR language_score >= 0").count() == 0
+    short = spark.createDataFrame([(0, "the of"), (1, ""), (2, None), (3, "\u4e2d" * 20)], "id int, t string")
+    assert [r["language"] for r in L.detect_by_likelihood(short, "t", taught).collect()] == [None] * 4
+    assert L.detect_by_likelihood(short.limit(0), "t", taught).count() == 0
+
+
+def test_likelihood_copies_ties_and_unknown_groups(spark):
+    rows = [("aa aa ab", "x"), ("aa aa ab", "y"), ("cd cd cd", "z"), ("no language", None), (None, "x")]
+    model = L.learn_model(spark.createDataFrame(rows, "t string, l string"), "t", "l").collect()
+    counts = Counter()
+    for text, lang in rows[:3]:
+        counts.update((lang, f" {w} "[i : i + 3]) for w in text.split() for i in range(len(w)))
+    size = len({g for _, g in counts}) + 1
+    mass = {lang: sum(n for (other, _), n in counts.items() if other == lang) + 0.5 * size for lang in "xyz"}
+    log = lambda n, lang: round(math.log((n + 0.5) / mass[lang]) * 1_000_000)
+    assert {(r.lang, r.gram): (r.n, r.weight, r.floor) for r in model} == {
+        key: (n, log(n, key[0]), log(0, key[0])) for key, n in counts.items()
+    }
+    # A tie goes to the first language; copies change nothing; what no language has still counts.
+    texts = spark.createDataFrame([(1, "aa aa aa aa"), (2, "aa aa aa aa"), (3, "cd  cd zz zz")], "id int, t string")
+    got = {r.id: r for r in L.detect_by_likelihood(texts, "t", spark.createDataFrame(model)).collect()}
+    assert got[1].language == got[2].language == "x" and got[1].language_margin == 0.0
+    assert got[1].language_score == got[2].language_score == sum(log(2, "x") for _ in range(8)) / 8e6
+    assert got[3].language == "z" and got[3].language_margin is None
+    assert got[3].language_score == (4 * log(3, "z") + 4 * log(0, "z")) / 8e6
+
+
+def test_letter_groups_of_any_length(spark):
+    df = spark.createDataFrame([("a" * 300_000,), ("Ab  c\n\U0001F600d",)], "t string")
+    sizes, small = [r.g for r in df.select(L.letter_groups(F.col("t")).alias("g")).collect()]
+    assert len(sizes) == 300_000
+    assert small == [" ab", "ab ", " c ", " \U0001F600d", "\U0001F600d "]
+
+
 def test_annotator_and_missing_library(spark):
     from pyspark.sql import types as Ty
 
