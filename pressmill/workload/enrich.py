@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pressmill.functions.binding import explode_rows
@@ -332,6 +335,87 @@ def date_texts(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", parse_date_text(text, d).alias("day"))
 
 
+#: Ways to write the day d, seen from the day r at n units' distance: the phrase in SQL, and the day it names.
+_DATE_FORMS = [
+    ("strftime(d, '%d.%m.%Y')", "d"),
+    ("strftime(d, '%-d.%-m.%Y')", "d"),
+    ("strftime(d, '%Y.%m.%d')", "d"),
+    ("strftime(d, '%Y%m%d')", "d"),
+    ("strftime(d, '%d-%b-%Y')", "d"),
+    ("strftime(d, '%b-%d-%Y')", "d"),
+    ("strftime(d, '%Y %B %-d')", "d"),
+    ("strftime(d, '%B %-d %Y')", "d"),
+    ("strftime(d, '%B %-dth, %Y')", "d"),
+    ("strftime(d, 'the %-dth of %B, %Y')", "d"),
+    ("strftime(d, '%A, %-d %b. %Y')", "d"),
+    ("strftime(d, '%a %b %d %Y')", "d"),
+    ("strftime(d, '%a, %d %b %Y 10:15:30 GMT')", "d"),
+    ("strftime(d, '%Y-%m-%dT23:59:59.123Z')", "d"),
+    ("strftime(d, '%Y-%m-%d 08:00:00+02:00')", "d"),
+    ("strftime(d, '3:30 p.m. EST, %B %-d, %Y')", "d"),
+    ("strftime(d, '%-d %B %Y at 7 pm')", "d"),
+    ("strftime(d, '%m/%d/%Y')", "d"),
+    ("strftime(d, '%m/%d/%y')", "d"),
+    ("strftime(d, '%d.%m.%y')", "d"),
+    ("strftime(d, '28/%m/%Y')", "make_date(year(d), month(d), 28)"),
+    ("n || ' days ago'", "r - n"),
+    ("n || ' weeks and 3 days ago'", "r - n * 7 - 3"),
+    ("'in ' || n || ' days'", "r + n"),
+    ("n || ' weeks from now'", "r + n * 7"),
+    ("n || ' years, 2 months ago'", "CAST(r - to_months(n * 12 + 2) AS DATE)"),
+    ("'a fortnight ago'", "r - 14"),
+    ("'two hours ago'", "r - 1"),
+    ("'in 50 hours'", "r + 2"),
+    ("'the day before yesterday'", "r - 2"),
+    ("'day after tomorrow'", "r + 2"),
+    ("'next week'", "r + 7"),
+    ("'last month'", "CAST(r - to_months(1) AS DATE)"),
+    ("'this year'", "r"),
+    ("'Yesterday at 10:30 UTC'", "r - 1"),
+    ("'next ' || strftime(d, '%A')", "r + CAST((isodow(d) - isodow(r) + 6) % 7 + 1 AS INTEGER)"),
+    ("'this ' || strftime(d, '%a')", "r + CAST(isodow(d) - isodow(r) AS INTEGER)"),
+    ("strftime(d, '%B %Y')", "NULL"),
+    ("strftime(d, '%B %-d')", "NULL"),
+    ("strftime(d, '%A')", "NULL"),
+    ("strftime(d, '%Y')", "NULL"),
+    ("strftime(d, '%Y-13-%d')", "NULL"),
+    ("strftime(d, '31 February %Y')", "NULL"),
+    ("n || ' weeks'", "NULL"),
+]
+
+
+def _phrase(form: str) -> Column:
+    """The phrase of a form as a column of ``d`` and ``n``."""
+    codes = {"Y": "yyyy", "y": "yy", "m": "MM", "-m": "M", "B": "MMMM", "b": "MMM", "d": "dd", "-d": "d", "A": "EEEE", "a": "EEE"}
+    parts = []
+    for part in form.split(" || "):
+        if part == "n":
+            parts.append(F.col("n").cast("string"))
+        elif not part.startswith("strftime"):
+            parts.append(F.lit(part[1:-1]))
+        else:
+            pieces = re.split("%(-?[a-zA-Z])", part[len("strftime(d, '") : -2])
+            parts += [F.date_format("d", codes[p]) if i % 2 else F.lit(p) for i, p in enumerate(pieces)]
+    return F.concat(*parts)
+
+
+@query(
+    "E9",
+    "SELECT o_orderkey, form, CASE form "
+    + " ".join(f"WHEN {i} THEN strftime({day}, '%Y-%m-%d')" for i, (_, day) in enumerate(_DATE_FORMS) if day != "NULL")
+    + f""" END AS day FROM (SELECT o_orderkey, (o_orderkey + o_custkey) % {len(_DATE_FORMS)} AS form, CAST(o_custkey % 50 AS INTEGER) AS n,
+      CAST(o_orderdate AS DATE) AS d, CAST(o_orderdate AS DATE) + CAST(o_custkey % 9 AS INTEGER) AS r FROM orders)""",
+)
+def date_forms(spark, sf):
+    """Dates in many absolute and relative forms; the last seven lack a part or don't exist."""
+    day = F.col("o_orderdate").cast("date")
+    form = (F.col("o_orderkey") + F.col("o_custkey")) % len(_DATE_FORMS)
+    r = F.date_add(day, (F.col("o_custkey") % 9).cast("int"))
+    o = table(spark, sf, "orders").select("o_orderkey", form.alias("form"), (F.col("o_custkey") % 50).alias("n"), day.alias("d"), r.alias("r"))
+    text = F.get(F.array(*[_phrase(f) for f, _ in _DATE_FORMS]), F.col("form").cast("int"))
+    return o.select("o_orderkey", "form", parse_date_text(text, F.col("r")).alias("day"))
+
+
 @query(
     "E7 E10",
     """SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'paid on ' || strftime(o_orderdate, '%Y-%m-%d') ELSE 'no date' END AS text,

@@ -137,6 +137,24 @@ def test_dates(spark):
         assert r.got == r.want, r.t
 
 
+def test_date_grammar(spark):
+    want = {  # seen from Wednesday, 2024-01-17
+        "25/12/2023": "2023-12-25", "12/25/2023": "2023-12-25", "5.3.2023": "2023-03-05", "1/15/24": "2024-01-15",
+        "1/18/24": "1924-01-18", "March 3rd 2021": "2021-03-03", "3rd of March, 2021": "2021-03-03", "2021, March 3": "2021-03-03",
+        "MARCH 3 2021": "2021-03-03", "Wed, 03 Mar 2021 10:00:00 +0100": "2021-03-03", "10:30 PM PST March 3, 2021": "2021-03-03",
+        "5 pm, 3 March 2021": "2021-03-03", "20210303": "2021-03-03", "20211303": None, "29 Feb 2023": None, "29 Feb 2024": "2024-02-29",
+        "one year and two months ago": "2022-11-17", "in three weeks": "2024-02-07", "a decade ago": "2014-01-17",
+        "next Friday": "2024-01-19", "next wednesday": "2024-01-24", "this Monday": "2024-01-15", "this week": "2024-01-17",
+        "now": "2024-01-17", "tomorrow": "2024-01-18", "in a month": "2024-02-17", "45 minutes ago": "2024-01-16",
+        "in 45 minutes": "2024-01-17", "99999999999 decades ago": None, "in 99999999 weeks": None, "March 3": None, "March": None,
+        "Wednesday": None, "5": None, "a March 2024": None, "1 2 3": None, "25:00 March 3, 2021": None, "May I ask 2021": None,
+        "3 weeks": None, "weeks ago": None, "ago": None, "": None, "2021-03-03-04": None, "12-2021": None, None: None,
+    }
+    df = spark.createDataFrame(list(enumerate(want)), "i int, t string")
+    got = df.select("t", parse_date_text(F.col("t"), F.lit("2024-01-17").cast("date")).alias("d")).collect()
+    assert {r.t: r.d for r in got} == want
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("lang", clean_text(F.col("text")).alias("c"))
     profiles = L.load_profiles(L.learn_profiles(docs, "c", "lang"))
