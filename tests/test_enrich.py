@@ -196,6 +196,17 @@ def test_likelihood_copies_ties_and_unknown_groups(spark):
     assert got[3].language_score == (4 * log(3, "z") + 4 * log(0, "z")) / 8e6
 
 
+def test_likelihood_is_the_same_with_a_joined_table(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang", clean_text(F.col("text")).alias("c"))
+    model = written(L.learn_model(docs, "c", "lang"), "language-model")
+    found = []
+    for bound in (L.MAX_SENT, 0):
+        monkeypatch.setattr(L, "MAX_SENT", bound)
+        rows = L.detect_by_likelihood(docs, "c", model).select("doc_id", "language", "language_score", "language_margin")
+        found.append(sorted(map(tuple, rows.collect())))
+    assert found[0] == found[1] and len(found[0]) == docs.count()
+
+
 def test_letter_groups_of_any_length(spark):
     df = spark.createDataFrame([("a" * 300_000,), ("Ab  c\n\U0001F600d",)], "t string")
     sizes, small = [r.g for r in df.select(L.letter_groups(F.col("t")).alias("g")).collect()]
