@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import binascii
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -135,23 +136,26 @@ class Exchange:
     sequences give first; one that becomes empty is gone.
     """
 
-    #: Sequences of more documents offer single ones only, as pairs would grow with the square.
-    PAIRS_UP_TO = 16
-
     def __init__(self, lengths: list[int], bins: list[list[int]], capacity: int):
         self.lengths, self.bins, self.capacity = lengths, bins, capacity
         self.fill = [sum(lengths[i] for i in b) for b in bins]
 
     def groups(self, b: int) -> list[tuple[int, ...]]:
-        """What sequence ``b`` may exchange: nothing, one document, two documents; each length once."""
+        """What sequence ``b`` may exchange: nothing, one document, two documents; each length once.
+
+        Two documents of each length make all sums of pairs.  Different lengths in one sequence add up
+        to its capacity at most, so they are few and their pairs no more than about the capacity.
+        """
         seen: dict[int, tuple[int, ...]] = {0: ()}
-        items = self.bins[b]
-        for i in items:
+        items, times = [], Counter()
+        for i in self.bins[b]:
             seen.setdefault(self.lengths[i], (i,))
-        if len(items) <= self.PAIRS_UP_TO:
-            for x in range(len(items)):
-                for y in range(x):
-                    seen.setdefault(self.lengths[items[x]] + self.lengths[items[y]], (items[x], items[y]))
+            times[self.lengths[i]] += 1
+            if times[self.lengths[i]] <= 2:
+                items.append(i)
+        for x in range(len(items)):
+            for y in range(x):
+                seen.setdefault(self.lengths[items[x]] + self.lengths[items[y]], (items[x], items[y]))
         return list(seen.values())
 
     def offers(self, chosen: list[int]) -> None:

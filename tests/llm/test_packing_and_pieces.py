@@ -87,6 +87,18 @@ def test_local_search_beats_best_fit():
         assert max(fills) <= 100 and len(found) <= len(start) and sum(f * f for f in fills) >= squares
 
 
+def test_pairs_of_sequences_of_many_documents():
+    """Only a pair of the 24 documents makes room for the eleven; many documents of few lengths cost little."""
+    lengths = [4] * 24 + [11]
+    found = packing.Exchange(lengths, [list(range(24)), [24]], 100).search()
+    assert sorted(sum(lengths[i] for i in b) for b in found) == [8, 99]
+    lengths = [random.Random(k).randint(90, 130) for k in range(8_000)]
+    bins = packing.pack_lengths(lengths, 2048)
+    assert len(bins) <= -(-sum(lengths) // 2048) + 5
+    ones = packing.Exchange([1] * 2000, [list(range(1990)), list(range(1990, 2000))], 2048)
+    assert [len(g) for g in ones.groups(0)] == [0, 1, 2]
+
+
 @pytest.fixture(scope="module")
 def lattice():
     return pieces.Lattice(tokenizer_file(PIECE))
