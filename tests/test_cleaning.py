@@ -66,6 +66,16 @@ def test_whole_chain(column):
     assert column(C.clean_text, [t for t, _ in WHOLE]) == [w for _, w in WHOLE]
 
 
+def test_units_in_one_pass(spark):
+    """Decimals that lead to no percent sign stay where they are; a text that holds the mark goes rule by rule."""
+    texts = ["3.5 x 7kg", "3.5 kg, 2.5 % and 4%5m", "1\uffff m\uffff 2 m", "\uffffkg\uffff 5 mi", "12cm\u00a0 5g"]
+    want = ["3.5 x 7 kilograms", "3.5 kilograms, 2.5 percent and 4 percent5 meters", "1\uffff m\uffff 2 meters", "\uffffkg\uffff 5 miles", "12 centimeters\u00a0 5 grams"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in rows.select(C.spell_units(F.col("t"))).collect()] == want
+    fast = re.sub(re.escape(fixed.WS), "", spark.range(1).select(C.spell_units(F.col("id").cast("string")))._jdf.queryExecution().toString().split("\n\n")[0])
+    assert fixed.UNIT_MARK in fast  # one pass that marks, not a pass for each unit alone
+
+
 def _python(pattern):
     return re.compile(pattern.replace("(?U)", "").replace("(?iuU)", "(?i)"), 0)
 
