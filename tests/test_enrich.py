@@ -272,3 +272,13 @@ def test_entities_can_be_switched_off(spark):
     df = _article(spark, document_id="d", text="paid $5 today")
     row = process_articles(df, F.current_date(), tools=Enrichment(entities_enabled=False)).first()
     assert row.entities == []
+
+
+def test_delete_keys_are_not_sent_whole(spark):
+    """However small they look, the keys of neither side go through the driver."""
+    words = spark.createDataFrame([("helo",), ("wrold",)], "word string")
+    dictionary = spark.createDataFrame([("hello", 5), ("world", 9)], "word string, freq bigint")
+    found = T._nearest(words, dictionary, 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(map(tuple, found.collect())) == [("helo", "hello"), ("wrold", "world")]
