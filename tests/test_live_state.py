@@ -100,3 +100,38 @@ def test_the_calls_for_a_bucket_of_jobs_do_not_grow_with_them(jobs):
     assert len(out) == sum(r[2] < 4_500_000 for r in rows)
     out = pd.concat(list(steps.handleExpiredTimer((0,), Clock(60_000), None)))
     assert len(out) == sum(r[2] >= 4_500_000 for r in rows) and store.calls <= 12
+
+
+@pytest.mark.parametrize("events", [3, 300])
+def test_deliveries_of_a_bucket_settle_like_one_by_one(events):
+    rng, store, limit = random.Random(7), Store(), 3
+    work = state.Redelivery(limit)
+    work.init(store)
+    got, want, open_, settled = [], [], {}, {}
+    for batch in range(3):
+        told = []
+        for e in range(events):
+            for _ in range(rng.randrange(4)):
+                status = rng.choice([None, 200, 404, 500])
+                told.append((f"e{e}", "webhook", rng.randrange(1, 4), status, (batch * 10 + rng.random()) * 1e6 // 1, status == 200, status in (None, 500)))
+        told = [(*r[:4], int(r[4]), *r[5:]) for r in told]
+        now, before = batch * 10_000, store.calls
+        got += [r for f in work.handleInputRows((0,), iter([table(state._TOLD, told)]), Clock(now)) for r in plain(f, state._DELIVERY)]
+        got += [r for f in work.handleExpiredTimer((0,), Clock(now), None) for r in plain(f, state._DELIVERY)]
+        assert store.calls - before <= 6
+        for e, b, attempt, status, at, good, again in sorted(told, key=lambda r: (r[0], r[2], r[4])):
+            if attempt <= max(settled.get(e, 0), open_.get(e, (0,))[0]):
+                continue
+            open_.pop(e, None)
+            if good or not again or attempt >= limit:
+                settled[e] = attempt
+                want += [] if good else [(e, "dead", attempt, status, at)]
+            else:
+                open_[e] = attempt, status, at + 2**attempt * 1_000_000
+        for e, (attempt, status, due) in list(open_.items()):
+            if due < now * 1000:
+                del open_[e]
+                settled[e] = attempt
+                want.append((e, "retry", attempt + 1, status, due))
+    flat = lambda r: (r["event_id"], r["target"], r["attempt"], r["status"], r["due_us"])
+    assert sorted(map(flat, got), key=str) == sorted(want, key=str)
