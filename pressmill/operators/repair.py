@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pressmill.functions import fixed
 from pressmill.functions.binding import bind
@@ -42,34 +38,29 @@ def repair_unicode(c: Column) -> Column:
 
 
 # A string after a colon ends at a quote followed by , } ] or the end; elsewhere it is a key,
-# or an element of a list, and may end before a colon as well.
-_STRING = re.compile(
-    r'(?P<after_colon>:[\s\[]*)?"(?P<body>(?:[^\\]|\\.)*?)"'
-    r"(?(after_colon)(?=\s*(?:[,}\]]|\Z))|(?=\s*(?:[:,}\]]|\Z)))",
-    re.DOTALL,
-)
-_BARE_QUOTE = re.compile(r'(\\.)|"', re.DOTALL)
+# or an element of a list, and may end before a colon as well.  Groups are possessive, so texts of any
+# length need no stack; other text is taken in runs without quote and colon, which can't begin a string.
+_SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_PLAIN = r'(?:[^"\\]++|\\.)*+'
+_OPENING = rf':[{_SPACE}\[]*+"'
 
 
-def _escape_inner(found: re.Match) -> str:
-    body = _BARE_QUOTE.sub(lambda m: m.group(1) or '\\"', found.group("body"))
-    return f'{found.group("after_colon") or ""}"{body}"'
+def _string(ends: str) -> str:
+    return rf'{_PLAIN}(?:"(?![{_SPACE}]*+(?:[{ends}]|\z)){_PLAIN})*+"'
 
 
-@F.pandas_udf(T.StringType())
-def _repair_quotes(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else _STRING.sub(_escape_inner, v))
+_PARTS = rf'(?s){_OPENING}{_string(r",}\]")}|"{_string(r":,}\]")}|[^":]++|.'
 
 
 def repair_quotes(c: Column) -> Column:
-    """Escape quotes inside strings.  NULLs pass through untouched, so callers send only bad rows.
-
-    Marked as not deterministic, which keeps filters on its result from running it a second time.
-    """
-    return _QUOTES(c)
+    """Escape quotes inside strings.  NULLs pass through untouched, so callers send only bad rows."""
 
+    def escaped(part: Column) -> Column:
+        head = F.length(F.regexp_extract(part, f'^(?:{_OPENING}|")', 0))
+        body = F.regexp_replace(F.substr(part, head + 1, F.length(part) - head - 1), rf'(?s)\G({_PLAIN})"', '$1\\\\"')
+        return F.when((head > 0) & (F.length(part) > head), F.concat(F.substr(part, F.lit(1), head), body, F.lit('"'))).otherwise(part)
 
-_QUOTES = _repair_quotes.asNondeterministic()
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_PARTS), F.lit(0)), escaped), "")
 
 
 def _field(c: Column, name: str, body: str) -> Column:
