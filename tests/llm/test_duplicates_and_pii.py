@@ -186,6 +186,20 @@ def test_words_between_seeds_are_compared(spark):
     assert passages.passages(docs).count() == 0
 
 
+@pytest.mark.parametrize("holders", [1, 40])
+def test_fuzzy_passages_whose_seeds_stand_earlier(spark, holders):
+    """Texts with parts of a passage, out of order, hold its seeds first; the passage is found in the later two."""
+    r = random.Random(23)
+    own = some_words(r, 144)
+    parts = [own[k : k + 36] for k in range(0, 144, 36)][::-1]
+    texts = [" ".join(w for p in parts for w in [*p, *some_words(r, 60)]) for _ in range(holders)]
+    edited = [w if k % 36 else f"x{k}" for k, w in enumerate(own)]  # what is left alone stands in the parts
+    texts += [" ".join(some_words(r, 80) + words + some_words(r, 80)) for words in (own, edited)]
+    found = passages.passages(spark.createDataFrame(list(enumerate(texts)), "place long, text string")).collect()
+    assert {(x.place, x.other) for x in found} == {(holders + 1, holders)}
+    assert max(x.end - x.start for x in found) >= 100
+
+
 def test_exact_passages_of_chains_that_fail(spark):
     """P and Q in a document, P, other words and Q in a later one: P is cut whatever follows it."""
     r, texts, want = random.Random(23), [], {}
