@@ -14,6 +14,9 @@ from pressmill.operators.dedup import skip_processed
 from pressmill.operators.events import due_again, exhausted
 from pressmill.operators.stats import windowed_traffic
 
+#: Parts of a batch for each core, so that a part of long rows holds up little.
+PARTS = 3
+
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Process all there is, write Parquet, and return the table written so far."""
@@ -93,6 +96,12 @@ def run_controlled(
     return stopped[0] if stopped else "completed"
 
 
+def spread(batch: DataFrame) -> DataFrame:
+    """``batch`` in a few parts for each core, where it came in fewer, as a batch of a few files does."""
+    parts = PARTS * batch.sparkSession.sparkContext.defaultParallelism
+    return batch if batch.rdd.getNumPartitions() >= parts else batch.repartition(parts)
+
+
 def append_once(
     spark: SparkSession, process: Callable[[DataFrame], DataFrame], path: str, keys: tuple[str, ...]
 ) -> Callable[[DataFrame, int], None]:
@@ -102,7 +111,7 @@ def append_once(
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        fresh = batch
+        fresh = batch = spread(batch)
         earlier = _written_before(spark, path, keys, batch.schema, number)
         if earlier is not None:
             fresh = skip_processed(batch, earlier, keys)

@@ -4,6 +4,8 @@ import glob
 import pytest
 from pyspark.sql import functions as F
 
+from pressmill.functions.cleaning import clean_text
+from pressmill.functions.counts import count_words
 from pressmill.session import new_shared_path, shared_folder, written
 from pressmill.sinks import deliver, files
 from pressmill.sinks.upsert import KeyedTable, merge_latest
@@ -134,6 +136,24 @@ def test_pause_resume_without_loss_or_repeats(spark, tmp_path):
     assert sorted(ids) == list(range(30))
 
 
+def test_a_batch_of_one_file_is_worked_on_in_many_parts(spark, tmp_path):
+    handle = runs.append_once(spark, lambda df: df, str(tmp_path / "out"), ("document_id",))
+    rows = spark.range(1000).withColumnRenamed("id", "document_id")
+    handle(rows.coalesce(1), 0)
+    handle(rows.unionByName(rows.select((F.col("document_id") + 1000).alias("document_id"))).coalesce(1), 1)
+    cores = spark.sparkContext.defaultParallelism
+    assert all(len(glob.glob(str(tmp_path / "out" / f"batch={n}" / "*.parquet"))) >= cores for n in (0, 1))
+    ids = [r.document_id for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(ids) == list(range(2000))
+
+
+def test_a_text_whose_words_are_counted_is_cleaned_once(spark):
+    docs = spark.createDataFrame([("a <b>b</b>  c",), ("",), (" ",), (None,)], "text string")
+    counted = docs.select(count_words(clean_text(F.col("text"))).alias("words"))
+    assert [r.words for r in counted.collect()] == [3, None, None, None]
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("<[^>]*+>") == 1
+
+
 def test_a_failing_batch_is_not_taken_for_a_pause(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.range(3).write.parquet(source)
