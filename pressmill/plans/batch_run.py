@@ -43,7 +43,8 @@ def run_batches(
     """
     items = explode_batch(batches.select("job_id", "documents"))
     failed = items.filter(~F.col("batch_ok")).select("job_id", F.lit("failed").alias("status"))
-    documents = items.filter(F.col("batch_ok") & F.col("document").isNotNull()).drop("batch_ok")
+    # A batch that is no array has no document.  A filter on ``batch_ok`` would move below the explode and parse twice.
+    documents = items.filter(F.col("document").isNotNull()).drop("batch_ok")
     checked = validate_documents(documents, sanitize=False).withColumn(
         "outcome", F.when(F.size("errors") > 0, "validation_error").otherwise("ok")
     ).drop("document")

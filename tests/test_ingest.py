@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pressmill.functions import fixed
 from pressmill.operators import validate as V
 from pressmill.operators.repair import parse_lines, parse_strict, salvage_fields
+from pressmill.plans.batch_run import run_batches
 from pressmill.plans.file_run import check_lines, run_lines
 from pressmill.sources import lines as S
 
@@ -138,3 +139,24 @@ def test_outcomes_cover_every_line(spark):
 @pytest.mark.parametrize("text", ['{"a":1}', '[1]', '"x"', "3", "null"])
 def test_strict_parse_takes_any_json(column, text):
     assert column(lambda c: parse_strict(c).isNotNull(), [text]) == [True]
+
+
+def test_fields_are_taken_from_a_document_in_one_pass_and_batches_parsed_once(spark):
+    batch = '[{"document_id":"a","text":"t","tags":["x"],"word_count":null},{"document_id":null,"sentiment":1,"text":"t"},{"source_url":"no"},3,{"document_id":"a","text":"u","document_id":"b"}]'
+    rows = spark.createDataFrame([("j", batch), ("k", "no list"), ("l", None), ("m", "[null]")], "job_id string, documents string")
+    items = S.explode_batch(rows).filter("document IS NOT NULL")
+    checked = V.validate_documents(items, sanitize=False)
+    assert checked._jdf.queryExecution().optimizedPlan().toString().count("try_variant_get(lambda") == 1
+    got = {(r.job_id, r.seq): (r.document_id, r.text, r.tags, r.errors) for r in checked.collect()}
+    assert got == {
+        ("j", 0): ("a", "t", ["x"], []),
+        ("j", 1): (None, "t", None, ["document_id: must be a string", "sentiment: must be a string"]),
+        ("j", 2): (None, None, None, ["document_id: field required", "text: field required", "source_url: must be an http(s) URL"]),
+        ("j", 3): (None, None, None, ["document: must be an object"]),
+        ("j", 4): ("b", "u", None, []),
+        ("m", 0): (None, None, None, ["document: must be an object"]),
+    }
+    run = run_batches(rows, None, F.lit("2024-01-01").cast("date"), settle=False)
+    assert run.outcomes._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 3  # one for each look at the rows
+    totals = {r.job_id: (r.processed, r.failed) for r in run.totals.collect()}
+    assert totals == {"j": (2, 3), "m": (0, 1)} and {r.job_id for r in run.failed_batches.collect()} == {"k", "l"}
