@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressmill.functions import fixed
-from pressmill.functions.binding import bind
+from pressmill.functions.binding import bind, explode_rows
 from pressmill.functions.urls import is_http_url, normalize_url, repair_scheme, sanitize_url, sanitize_urls
 from pressmill.schema import ARTICLE_FIELDS
 
@@ -140,10 +140,14 @@ def default_document_id(document_id: Column, line: Column) -> Column:
 
 
 def error_rows(tagged: DataFrame) -> DataFrame:
-    """Dead-letter rows: file if there is one, line, document id, error type, message and a sample of the raw line."""
+    """Dead-letter rows: file if there is one, line, document id, error type, message and a sample of the raw line.
+
+    A filter on ``outcome`` would move below the parsing and copy all rungs and checks into its
+    condition, so the rows are built where they are in error and the others are left out after that.
+    """
     limit = fixed.ERROR_TEXT_LENGTH
     is_json = F.col("outcome") == "json_error"
-    return tagged.filter(F.col("outcome").isin("json_error", "validation_error")).select(
+    row = F.struct(
         *[c for c in ("file",) if c in tagged.columns],
         F.col("line").alias("line_number"),
         default_document_id(F.when(~is_json, F.col("document_id")), F.col("line")).alias("document_id"),
@@ -154,6 +158,8 @@ def error_rows(tagged: DataFrame) -> DataFrame:
         ).alias("error_message"),
         F.left(F.trim("value"), F.lit(limit)).alias("raw_data_sample"),
     )
+    wanted = F.when(F.col("outcome").isin("json_error", "validation_error"), row)
+    return explode_rows(tagged, F.array(wanted), "_row").select("_row.*")
 
 
 def validation_report(lines: DataFrame) -> DataFrame:

@@ -160,3 +160,18 @@ def test_fields_are_taken_from_a_document_in_one_pass_and_batches_parsed_once(sp
     assert run.outcomes._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 3  # one for each look at the rows
     totals = {r.job_id: (r.processed, r.failed) for r in run.totals.collect()}
     assert totals == {"j": (2, 3), "m": (0, 1)} and {r.job_id for r in run.failed_batches.collect()} == {"k", "l"}
+
+
+def test_dead_letters_parse_a_line_as_often_as_the_check(spark):
+    """The choice of rows in error doesn't copy the parsing and the checks into a condition."""
+    lines = ['{"document_id":"a","text":"t"}', "no json", " ", '{"document_id":1,"text":"t"}', "[1]", None]
+    tagged = check_lines(spark.createDataFrame(list(enumerate(lines)), "line long, value string"))
+    errors = V.error_rows(tagged)
+    parsings = [df._jdf.queryExecution().optimizedPlan().toString().count("parseJson") for df in (tagged, errors)]
+    assert 0 < parsings[1] <= parsings[0]
+    found = [(r.line_number, r.document_id, r.error_type, r.raw_data_sample) for r in errors.orderBy("line_number").collect()]
+    assert found == [
+        (1, "line-1", "JSONDecodeError", "no json"),
+        (3, "line-3", "ValidationError", '{"document_id":1,"text":"t"}'),
+        (4, "line-4", "ValidationError", "[1]"),
+    ]
