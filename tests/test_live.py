@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pressmill.operators import events as EV
 from pressmill.operators import jobs as J
+from pressmill.plans.file_run import check_lines
 from pressmill.sources.lines import stream_table
 from pressmill.streaming import runs, state
 
@@ -34,6 +35,16 @@ def test_a_batch_reads_its_own_input_only(spark, tmp_path):
     assert sorted(errors) == ["JSONDecodeError"] * 3 + ["ValidationError"]
 
 
+def test_blank_lines_go_before_the_check(spark, tmp_path):
+    """The choice of lines that aren't blank doesn't copy the parsing and the checks into a condition."""
+    spark.createDataFrame([("x",)], "value string").write.text(str(tmp_path / "in"))
+    lines = state.arriving_lines(spark, str(tmp_path / "in"))
+    optimizer = spark._jsparkSession.sessionState().optimizer()
+    plans = [optimizer.execute(df._jdf.queryExecution().analyzed()) for df in (check_lines(lines), state.new_documents(lines))]
+    parsings = [plan.toString().count("parseJson") for plan in plans]
+    assert 0 < parsings[1] <= parsings[0]
+
+
 def test_steps_of_a_ledger_told_out_of_order(spark, tmp_path):
     rows = [
         ("a", 0, 0, "queued", None, None), ("a", 1, 1, "running", None, None), ("a", 2, 2, None, 5, None), ("a", 3, 3, "paused", None, None),
