@@ -333,3 +333,61 @@ def test_pipeline_stages(spark):
     whole = corpus_pipeline.run(spark, SF).collect()
     key = lambda rows: sorted((r.doc_id, r.piece, r.start, r.length) for r in rows)
     assert len(key(whole)) == len(key(packed))
+
+
+def test_a_passage_beside_a_line_of_many_texts(spark):
+    """Two late texts go on alike after a line that forty others have, and share no seed beyond it."""
+    r = random.Random(5)
+    line = some_words(r, 44)
+
+    def shared(texts):
+        (x, at), (y, _) = (passages.seeds_of(passages.PlainWords().array(t)) for t in texts)
+        return [(k, k + (passages.LONG_SEED if v & np.uint64(1) else passages.SEED)) for v, k in zip(x, at.tolist()) if v in y]
+
+    for _ in range(1000):
+        more = some_words(r, 10)
+        late = [some_words(r, 40) + line + more + some_words(r, 40) for _ in range(2)]
+        if all(40 <= start and end <= 84 for start, end in shared(late)):
+            break
+    else:
+        raise AssertionError("no such texts")
+    texts = [" ".join(t) for t in [*(some_words(r, 30) + line + some_words(r, 30) for _ in range(40)), *late]]
+    found = passages.passages(spark.createDataFrame(list(enumerate(texts)), "place long, text string")).collect()
+    assert [(x.place, x.start, x.end, x.other, x.other_start, x.other_end) for x in found] == [(41, 40, 94, 40, 40, 94)]
+
+
+def test_no_pair_of_texts_with_a_passage_is_left_out(spark):
+    """What ``promising`` lets through holds all that comes out when every two texts with a seed in common are aligned."""
+    rng = random.Random(11)
+    word = lambda: rng.choice("abcdefghij") + rng.choice("klmnopqrst") + str(rng.randrange(9))
+    lines = [[word() for _ in range(n)] for n in (22, 30, 45, 80)]
+
+    def edited(words):
+        out = []
+        for w in words:
+            kind = rng.random()
+            out += [word()] if kind < 0.03 else [w, word()] if kind < 0.05 else [] if kind < 0.06 else [w]
+        return out
+
+    texts = []
+    for _ in range(40):
+        text = [word() for _ in range(rng.randrange(40))]
+        for line in rng.sample(lines, 2):
+            cut = rng.randrange(len(line) // 2)
+            text += edited(line[cut:]) if rng.random() < 0.7 else line
+            text += [word() for _ in range(rng.choice([0, 3, 30]))]
+        texts.append(" ".join(text))
+    docs = spark.createDataFrame(list(enumerate(texts)), "place long, text string")
+    seeded = passages.seeds(docs)
+    a = seeded.toDF("seed", "a", "first_at")
+    whole = passages.passages_of(seeded.join(a, "seed").where("a < place").select("seed", "place", "at", "a", "first_at"), docs)
+    expected = {(x.place, x.other) for x in whole.collect()}
+    rows = passages.surroundings(docs, seeded.withColumn("open", F.lit(True))).toArrow()
+    got, met, of_row = set(), set(), rows["seed"].to_pylist()
+    for seed in {*of_row}:
+        own = rows.take([k for k, s in enumerate(of_row) if s == seed])
+        place, other = passages.promising(seed, own, own)
+        got |= {*zip(place.tolist(), other.tolist())}
+        places = own["place"].to_pylist()
+        met |= {(b, a) for a in places for b in places if a < b}
+    assert len(expected) > 50 and expected <= got < met
