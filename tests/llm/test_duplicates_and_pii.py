@@ -382,7 +382,8 @@ def test_no_pair_of_texts_with_a_passage_is_left_out(spark):
     a = seeded.toDF("seed", "a", "first_at")
     whole = passages.passages_of(seeded.join(a, "seed").where("a < place").select("seed", "place", "at", "a", "first_at"), docs)
     expected = {(x.place, x.other) for x in whole.collect()}
-    rows = passages.surroundings(docs, seeded.withColumn("open", F.lit(True))).toArrow()
+    by_place = seeded.groupBy("place").agg(F.collect_list(F.struct("seed", "at", F.lit(True).alias("open"))).alias("seeds"))
+    rows = passages.surroundings(docs, by_place, "open").toArrow()
     got, met, of_row = set(), set(), rows["seed"].to_pylist()
     for seed in {*of_row}:
         own = rows.take([k for k, s in enumerate(of_row) if s == seed])
